@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, near
+from . import bpe, lm, near, warc
+
+
+#: DuckDB SQL of the queries that SQL can express.
+ORACLES = {
+    "op2_warc": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+             d as (select page_id, octet_length(encode(html)) as payload_bytes, sha256(html) as payload_digest from p),
+             f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by payload_digest)
+        select d.page_id, cast(d.payload_bytes as bigint) as payload_bytes, d.payload_digest,
+               case when f.first is not null and f.first <> d.page_id then 'revisit' else 'response' end as record_type,
+               case when f.first <> d.page_id then f.first end as refers_to
+        from d left join f on d.payload_digest = f.payload_digest and d.payload_bytes >= 100
+    """,
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_back(index)
+
+
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lm.train(docs.filter(~F.coalesce(lm.held_out(), F.lit(False))))
@@ -32,4 +51,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
