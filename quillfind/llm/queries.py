@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, near, warc
+from . import bpe, licenses, lm, near, warc
 
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -37,6 +37,10 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(docs, model).withColumn("held_out", lm.held_out())
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_documents(table(spark, sf_dir, "documents")))
 
