@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licenses, lm, near, warc
+from . import bpe, decontam, licenses, lm, near, toxicity, warc
 
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -41,6 +41,13 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(docs, model).withColumn("held_out", lm.held_out())
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
+    scored = toxicity.score_documents(docs, model).withColumn("held_out", toxicity.held_out())
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents")).drop("detections")
 
