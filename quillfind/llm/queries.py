@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licenses, lm, near, toxicity, warc
+from . import bpe, decontam, langid, licenses, lm, near, toxicity, warc
 
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -56,6 +56,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_documents(table(spark, sf_dir, "documents")))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langid.train(docs.filter(~langid.held_out()))
+    return langid.label_documents(docs, net).withColumn("held_out", langid.held_out())
+
+
 def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.link_components(table(spark, sf_dir, "documents"))
 
