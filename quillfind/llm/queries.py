@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, licenses, lm, near, toxicity, warc
+from . import bpe, decontam, imatch, langid, licenses, lm, near, toxicity, warc
 
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -62,6 +62,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.label_documents(docs, net).withColumn("held_out", langid.held_out())
 
 
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compared(imatch.fingerprints(table(spark, sf_dir, "documents")))
+
+
 def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.link_components(table(spark, sf_dir, "documents"))
 
