@@ -222,9 +222,12 @@ def accepted(weights: dict[str, list[float]]) -> Column:
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, the kept columns and `spans`: array<struct<kind, rank, s, e>>, by kind as in KINDS, then start."""
+    """doc_id, the kept columns and `spans`: array<struct<rank, s, e, kind>>, by kind as in KINDS, then start. Without
+    kept columns the candidates are stored between the two uses; with them (texts, say) they are found twice, which
+    costs less than storing what is kept."""
     session(docs)
-    found = stored(candidates(docs, id_col, text_col, keep), "pii")
+    found = candidates(docs, id_col, text_col, keep)
+    found = found if keep else stored(found, "pii")
     spans = F.array_sort(F.transform(accepted(train(found)), lambda c: F.struct(c["rank"].alias("rank"), c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
     return found.select("doc_id", *(keep or []), spans.alias("spans"))
 
