@@ -7,8 +7,9 @@ join. For the others:
  2. XOR-hashing every shingle into one of d+1 segments gives a parity sketch. A shingle in which two sets differ
     changes one segment, so linked sets agree in at least one whole segment (pigeonhole). A segment's parity bits are
     kept as one 64-bit key; a set sends its keys to its own band and, where it can link upwards, to the next.
-    Where a set has an empty segment, agreement on it tells nothing: such sets also send the keys of a second, third
-    and fourth sketch with other seeds, and after the fourth the empty segments themselves. No link is lost.
+    Agreement on an empty segment tells nothing. So there are e spare segments, linked sets agree in e+1, and one of
+    these is filled unless both sets have more than e empty ones. Sets that do (few) also send the keys of a second,
+    third and fourth sketch with other seeds, and after the fourth the empty segments themselves. No link is lost.
  3. Sets that share a key are compared with two of them, the smallest and the largest id. These pairs are as many as
     the keys at most, are made distinct, and are verified exactly on the whole sets.
  4. A key whose sets are one component already needs nothing more. The sets of other keys (with three or more sets)
@@ -43,19 +44,24 @@ _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779
 FEATURES = "doc_id long, n long, h1 long, h2 long, keys binary"
 
 
-def bands(largest: int, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
-    """Upper ends of the size bands and their segments: one more than two linked sets of the band can differ by.
-    Where that is none, linked sets are equal; such bands have no segments."""
-    ends, segments, low = [], [], 1
+def spare(differ: int) -> int:
+    """Segments beyond d+1: more than sets of the band have empty, save a few sets in a hundred."""
+    return 2 + differ // 32
+
+
+def bands(largest: int, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Upper ends of the size bands, their segments (one more than two linked sets of the band can differ by, and the
+    spare ones) and the spare ones. Where linked sets cannot differ they are equal; such bands have no segments."""
+    ends, differs, low = [], [], 1
     while not ends or ends[-1] < largest:
         end = low * den // num
         differ = (2 * end * (den - num)) // (den + num)
         ends.append(end)
-        segments.append(differ + 1 if differ else 0)
+        differs.append(differ)
         low = end + 1
     ends.append(low * den // num)
-    segments.append((2 * ends[-1] * (den - num)) // (den + num) + 1)
-    return np.array(ends), np.array(segments)
+    differs.append((2 * ends[-1] * (den - num)) // (den + num))
+    return np.array(ends), np.array([d + 1 + spare(d) if d else 0 for d in differs]), np.array([spare(d) for d in differs])
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> list[np.ndarray]:
@@ -79,8 +85,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> list[
     return out
 
 
-def _segment_keys(sets: list[np.ndarray], band: np.ndarray, segments: np.ndarray, level: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Keys of each set's segments in the given band, and which sets have an empty segment."""
+def _segment_keys(sets: list[np.ndarray], band: np.ndarray, segments: np.ndarray, spares: np.ndarray, level: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys of each set's segments in the given band, and which sets have more empty segments than spare ones."""
     sizes = np.array([len(s) for s in sets])
     h = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -98,7 +104,7 @@ def _segment_keys(sets: list[np.ndarray], band: np.ndarray, segments: np.ndarray
     edges = np.searchsorted(who, np.arange(len(sets) + 1))
     filled = np.diff(edges)
     out = [keys[a:b] for a, b in zip(edges, edges[1:])]
-    empty = filled < segments
+    empty = segments - filled > spares
     if level == LEVELS - 1:
         for i in np.flatnonzero(empty).tolist():
             present = np.zeros(segments[i], bool)
@@ -111,7 +117,7 @@ def _segment_keys(sets: list[np.ndarray], band: np.ndarray, segments: np.ndarray
 def sketch_keys(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[np.ndarray]:
     """All keys that each set sends."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    ends, segments = bands(int(sizes.max(initial=1)), num, den)
+    ends, segments, spares = bands(int(sizes.max(initial=1)), num, den)
     own = np.searchsorted(ends, sizes)
     keys: list[list[np.ndarray]] = [[] for _ in sets]
     for up in (0, 1):
@@ -120,7 +126,7 @@ def sketch_keys(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[
         for level in range(LEVELS):
             if not len(use):
                 break
-            got, empty = _segment_keys([sets[i] for i in use], band[use], segments[band[use]], level)
+            got, empty = _segment_keys([sets[i] for i in use], band[use], segments[band[use]], spares[band[use]], level)
             for i, k in zip(use.tolist(), got):
                 keys[i].append(k)
             use = use[empty]
