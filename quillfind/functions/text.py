@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,20 +120,27 @@ def summary_by_position(text: Column, k: int = 3) -> Column:
 
 
 def summary_by_frequency(text: Column, k: int = 5) -> Column:
-    """Extractive summary that favours sentences of frequent words (of more than two letters), early and long ones."""
-    s = sentences(text)
-    every = F.filter(F.flatten(F.transform(s, lambda x: words(F.lower(x)))), lambda w: F.length(w) > 2)
-    # Counts per distinct word, from the sorted array: linear in its length times the distinct words of one text.
-    counted = F.map_from_entries(F.transform(F.array_distinct(every), lambda w: F.struct(w, F.size(F.filter(every, lambda x: x == w)))))
-    top = F.greatest(F.array_max(F.map_values(counted)), F.lit(1))
+    """Extractive summary that favours sentences of frequent words (of more than two letters), early and long ones.
+    Counting words within each text is quadratic in array expressions, so this one runs on Arrow batches."""
+
+    @F.pandas_udf("string")
+    def best(texts: pd.Series, split: pd.Series) -> pd.Series:
+        return pd.Series([_by_frequency(t, list(s) if s is not None else [], k) for t, s in zip(texts, split)])
+
+    return best(text, sentences(text))
 
-    def score(x: Column, i: Column) -> Column:
-        w = words(F.lower(x))
-        total = F.aggregate(w, F.lit(0).cast("long"), lambda a, t: a + F.coalesce(counted[t], F.lit(0)))
-        mean = F.when(F.size(w) > 0, total / F.coalesce(top, F.lit(1)) / F.size(w)).otherwise(0.0)
-        return F.when(F.size(w) > 0, F.round(0.5 * mean + 0.3 / (1 + i * 0.2) + 0.2 * F.least(F.size(w) / 15.0, F.lit(1.0)), 9)).otherwise(0.0)
 
-    return _best_sentences(text, s, F.transform(s, score), k)
+def _by_frequency(text: str | None, split: list[str], k: int) -> str:
+    if not text or not text.strip():
+        return ""
+    if len(split) <= k:
+        return ". ".join(split) if split else text[:500]
+    lists = [s.lower().split() for s in split]
+    counts = Counter(w for ws in lists for w in ws if len(w) > 2)
+    top = max(counts.values(), default=1)
+    score = lambda i: round(0.5 * sum(counts[w] for w in lists[i]) / top / len(lists[i]) + 0.3 / (1 + i * 0.2) + 0.2 * min(len(lists[i]) / 15.0, 1.0), 9)
+    order = sorted(range(len(split)), key=lambda i: (-score(i), i))[:k]
+    return ". ".join(split[i] for i in sorted(order))
 
 
 def node_id(level: Column, cluster: Column, text: Column) -> Column:
@@ -195,5 +205,6 @@ def keyword_coverage(q: Column, context: Column) -> Column:
     """Share of the query's keywords that occur as substrings of the context; null without keywords."""
     keys = F.filter(F.array_distinct(words(F.lower(q))), lambda w: ~w.isin(*COVERAGE_STOP_WORDS))
     low = F.lower(F.coalesce(context, F.lit("")))
-    hits = F.size(F.filter(keys, lambda w: F.contains(low, w)))
+    # The context is bound once, so that it is lower-cased once.
+    hits = F.transform(F.array(low), lambda c: F.size(F.filter(keys, lambda w: F.contains(c, w))))[0]
     return F.when(F.size(keys) > 0, hits / F.size(keys))
