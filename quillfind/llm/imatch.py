@@ -14,8 +14,8 @@ Every document's neighbour (for the edited texts) is found without a global sort
 width, a window works within a block, and one row per block carries the last text on to the next block.
 
 Defined results: null texts are empty; texts without terms are alike with each other and with nothing else; rows with
-equal ids are ordered by text; a single row is its own neighbour; null ids have no neighbour (their edited text keeps
-the first two thirds); other columns are not looked at.
+equal ids are ordered by text; a single row is its own neighbour; rows with null ids follow the smallest id; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -87,14 +87,16 @@ def _blocks(docs: DataFrame) -> DataFrame:
     """With the column `block`: ids cut to equal widths, so that a block has BLOCK rows on average."""
     r = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("doc_id").alias("n")).first()
     low, width = r["a"] or 0, max(1, ((r["b"] or 0) - (r["a"] or 0) + 1) * BLOCK // max(1, r["n"]))
-    return docs.withColumn("block", F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long"))
+    block = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long")
+    # Never null: else a filter on one of its uses would keep Spark from sharing one shuffle among all of them.
+    return docs.withColumn("block", F.coalesce(block, F.lit(-1).cast("long")))
 
 
 def _neighbours(blocked: DataFrame, value: str, order: list[str], out: str) -> DataFrame:
     """With the column `out`: `value` of the next row in descending order (the greatest smaller one; for the smallest,
     the greatest of all). `blocked` must be partitioned by `block` already for this to shuffle nothing large."""
-    last = blocked.filter("block is not null").groupBy("block").agg(F.max_by(F.struct(value), F.struct(*order)).alias("v"))
-    blocks = blocked.filter("block is not null").select("block").distinct()
+    last = blocked.groupBy("block").agg(F.max_by(F.struct(value), F.struct(*order)).alias("v"))
+    blocks = blocked.select("block").distinct()
     w = Window.orderBy("block")
     order_of_blocks = blocks.select("block", F.lag("block").over(w).alias("p")).crossJoin(F.broadcast(blocks.agg(F.max("block").alias("m")))).select(F.coalesce("p", "m").alias("block"), F.col("block").alias("to"))
     edge = last.join(order_of_blocks, "block").select(F.col("to").alias("block"), F.col("v").alias("edge"))
