@@ -1,8 +1,8 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic regression over the presence of selected words and word beginnings. Features are found by a Spark count
-over the labelled rows: those that stand in toxic texts far more often than in others (by the z-score of their log
-odds). Identity terms are features as well. For every labelled sentence with an identity term, copies with the term
+over the labelled rows: those that stand in toxic texts far more often than in others (by the log-likelihood
+ratio). Identity terms are features as well. For every labelled sentence with an identity term, copies with the term
 swapped for others of its kind are made; training penalises the squared difference of their scores, so a mention of a
 group by itself does not change the verdict. Where labelled sentences name no group, terms are placed into a bounded
 number of them, so that the penalty is never empty.
@@ -29,7 +29,7 @@ from .bytewords import ALNUM, CODES, LOWER, U, _powers, mix, slices, split_words
 from .decontam import lowered
 from .shared import session
 
-SAMPLE, FEATURES, MIN_TOXIC, MIN_Z = 30_000, 1000, 4, 4.0
+SAMPLE, FEATURES, MIN_TOXIC, MIN_Z = 30_000, 1000, 4, 5.5
 PENALTY, RIDGE, STEPS, INJECTED = 1.0, 0.02, 400, 200
 #: Bytes of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -127,7 +127,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     empty = Model(np.zeros(0, U), np.zeros(0), -np.inf)
     if not n1 or not n0:
         return empty
-    z = F.expr(f"(ln((toxic + 0.5) / ({n1} - toxic + 0.5)) - ln((clean + 0.5) / ({n0} - clean + 0.5))) / sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))")
+    # Signed root of the log-likelihood ratio: sound for small counts, where a z-score of log odds is not.
+    term = lambda o, e: f"case when {o} > 0 then {o} * ln({o} / ({e})) else 0 end"
+    rate = f"((toxic + clean) / {n1 + n0})"
+    cells = [term("toxic", f"{n1} * {rate}"), term("clean", f"{n0} * {rate}"), term(f"({n1} - toxic)", f"{n1} * (1 - {rate})"), term(f"({n0} - clean)", f"{n0} * (1 - {rate})")]
+    z = F.expr(f"sqrt(greatest(2 * ({' + '.join(cells)}), 0)) * sign(toxic / {n1} - clean / {n0})")
     best = _count(rows).filter(F.col("toxic") >= MIN_TOXIC).withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
     swaps = identity_terms()
     hashes = np.unique(np.array([r["feature"] for r in best] + np.array(list(swaps), dtype=U).astype(np.int64).tolist(), dtype=np.int64).astype(U))
