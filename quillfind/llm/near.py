@@ -11,15 +11,16 @@ join. For the others:
     these is filled unless both sets have more than e empty ones. Sets that do (few) also send the keys of a second,
     third and fourth sketch with other seeds, and after the fourth the empty segments themselves. No link is lost.
  3. Sets that share a key are compared with two of them, the smallest and the largest id. These pairs are as many as
-    the keys at most, are made distinct, and are verified exactly on the whole sets.
+    the keys at most, are made distinct, are dropped if sizes or the Hamming distance of 1024-bit parity sketches (a
+    lower bound of the difference) rule a link out, and are verified exactly on the whole sets.
  4. A key whose sets are one component already needs nothing more. The sets of other keys (with three or more sets)
     are gathered by key sharing into clusters, dealt to pairs of blocks of bounded size, and compared there by the
-    Hamming distance of 512-bit parity sketches, a lower bound of the difference, then exactly. Blocks give back links
-    that join different components only, at most one for each set.
+    Hamming distance of parity sketches, then exactly. Blocks give back links that join different components only, at
+    most one for each set.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and are their own component; with
-fewer than n words, the whole word sequence is the one shingle; rows with equal ids are distinct copies of a set;
-null ids are carried through; other columns are not looked at.
+fewer than n words, the whole word sequence is the one shingle; a row that is there twice is a copy of itself; ids are
+taken to name one text each; null ids are carried through and link with nothing; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import U, mix, ngrams, slices, split_words
@@ -41,7 +42,9 @@ WORDS, NUM, DEN = 4, 85, 100
 BLOCK, BROADCAST_IDS = 3000, 1_000_000
 LEVELS = 4
 _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
-FEATURES = "doc_id long, n long, h1 long, h2 long, keys binary"
+FEATURES = "doc_id long, n long, h1 long, h2 long, sketch array<long>"
+#: 64-bit words of the parity sketch that candidates are tested with before their sets are fetched.
+SKETCH = 16
 
 
 def spare(differ: int) -> int:
@@ -141,25 +144,50 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(np.array(b, dtype=U).astype(np.int64))
 
 
-def features(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, set size, 128-bit digest, keys as 8-byte little-endian words)."""
+def parity(s: np.ndarray, words: int) -> np.ndarray:
+    """Every shingle flips one of 64 * words bits: sets differ in at least as many shingles as sketches in bits."""
+    spot = (mix(s.astype(U)) & U(64 * words - 1)).astype(np.int64)
+    return np.packbits((np.bincount(spot, minlength=64 * words) & 1).astype(np.uint8)).view(U)
+
+
+def features(docs: DataFrame, n: int = WORDS) -> DataFrame:
+    """(doc_id, set size, 128-bit digest, parity sketch of 1024 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in slices(batch.column(1)):
                 sets = shingle_sets(data, offsets, n)
-                keys = sketch_keys(sets, num, den)
                 digests = [_digest(s) for s in sets]
-                yield pa.record_batch([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary())], ["doc_id", "n", "h1", "h2", "keys"])
+                yield pa.record_batch([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([parity(s, SKETCH).astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "h1", "h2", "sketch"])
 
     return docs.mapInArrow(run, FEATURES)
 
 
+def keys_of(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(key, rep): every key that a document's set sends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for at, data, offsets in slices(batch.column(1)):
+                keys = sketch_keys(shingle_sets(data, offsets, n), num, den)
+                owner = np.repeat(ids[at : at + len(keys)], [len(k) for k in keys])
+                every = np.concatenate(keys).astype(np.int64)
+                for x in range(0, len(every), 1 << 18):
+                    yield pa.record_batch([pa.array(every[x : x + (1 << 18)]), pa.array(owner[x : x + (1 << 18)])], ["key", "rep"])
+
+    return docs.mapInArrow(run, "key long, rep long")
+
+
+def few(ids: DataFrame) -> bool:
+    """Whether ids are few enough to be broadcast."""
+    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(doc_id, shingles array) of the documents in `ids`. Their ids are broadcast where they are few enough; else
     texts and ids are joined by a shuffle."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    mine = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_merge"), "doc_id", "left_semi")
+    mine = docs.join(F.broadcast(ids) if few(ids) else ids.hint("merge"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,19 +206,6 @@ def _linked(a, b, num: int, den: int):
     return both * den >= (F.size(a) + F.size(b) - both) * num
 
 
-def _explode_keys(sets: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths = np.array([len(k) // 8 for k in batch.column(2).to_pylist()], dtype=np.int64)
-            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.int64)
-            for x in range(0, max(len(keys), 1), 1 << 18):
-                y = min(len(keys), x + (1 << 18))
-                owner = np.repeat(np.arange(len(lengths)), lengths)[x:y]
-                yield pa.record_batch([pa.array(keys[x:y]), pa.array(batch.column(0).to_numpy()[owner]), pa.array(batch.column(1).to_numpy()[owner].astype(np.int32))], ["key", "rep", "n"])
-
-    return sets.select("rep", "n", "keys").mapInArrow(run, "key long, rep long, n int")
-
-
 def _compare_blocks(num: int, den: int):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         """Links between different components among the sets of one pair of blocks; at most one for each set."""
@@ -207,11 +222,7 @@ def _compare_blocks(num: int, den: int):
             return x
 
         labels = group["label"].tolist()
-        bits = np.zeros((len(sets), 8), dtype=U)
-        for k, s in enumerate(sets):
-            spot = mix(s.astype(U)) & U(511)
-            odd = np.bincount(spot.astype(np.int64), minlength=512) & 1
-            bits[k] = np.packbits(odd.astype(np.uint8)).view(U)
+        bits = np.array([parity(s, SKETCH) for s in sets])
         left = np.flatnonzero(side == 0)
         right = left if own else np.flatnonzero(side == 1)
         out = []
@@ -240,15 +251,28 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     num * union; component_id is the smallest doc_id reachable by links."""
     session(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(features(docs, words, num, den), "near-features")
+    rows = stored(features(docs, words), "near-features")
     full = rows.filter("n > 0 and doc_id is not null")
-    # Equal sets become one, under their smallest id; map-side partial aggregation takes the copies together.
-    sets = full.groupBy("h1", "h2").agg(F.min_by(F.struct("n", "keys"), "doc_id").alias("s"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    keyed = _explode_keys(sets.filter("length(s.keys) > 0").select("rep", "s.n", "s.keys")).repartition("key")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("first"), F.max("rep").alias("last")).filter("members > 1")
-    met = stored(keyed.join(shared.hint("merge"), "key"), "near-keys")
+    # Equal sets become one, under their smallest id. Only copies are joined back; groups are pre-aggregated.
+    copies = stored(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("h1", "h2", "rep"), "near-copies")
+    single = full.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n = 1").select("doc_id")
+    gone = full.join(copies, ["h1", "h2"]).filter("doc_id <> rep").select("doc_id").join(single, "doc_id", "left_semi")
+    gone = stored(gone, "near-gone")
+    own = docs.filter("doc_id is not null").join(F.broadcast(gone) if few(gone) else gone.hint("merge"), "doc_id", "left_anti")
+    # One shuffle; a key that very many sets share is buffered in a spilling array, not collected.
+    key = Window.partitionBy("key")
+    keyed = keys_of(own, words, num, den)
+    met = keyed.withColumns({"members": F.count("*").over(key), "first": F.min("rep").over(key), "last": F.max("rep").over(key)})
+    met = stored(met.filter("members > 1"), "near-keys")
 
     star = met.select("rep", F.explode(F.array_distinct(F.array("first", "last"))).alias("center")).filter("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
+    # Rows that are there twice have one sketch.
+    light = full.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    for end in ("a", "b"):
+        star = star.join(light.select(F.col("doc_id").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}")), end)
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    close = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
+    star = star.filter(close).select("a", "b")
     star = stored(star, "near-pairs")
     ids = star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))).distinct()
     of = stored(_sets_of(docs, ids, words).dropDuplicates(["doc_id"]), "near-sets")
@@ -272,7 +296,6 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = stored(links.unionByName(more), "near-links")
         labels = components(links)
 
-    copies = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("h1", "h2", "rep")
     out = rows.select("doc_id", "n", "h1", "h2").join(copies, ["h1", "h2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
