@@ -252,7 +252,7 @@ ORACLES: dict[str, str] = {
     "fidelity": f"with {_approx(3, 2)}, {maxsim('d', 'ex')}, a as ({top('ms', 3)}), e as ({top('ex', 3)}) select e.query_id, round(count(a.doc_id) / 3, 6) as fidelity from e left join a using (query_id, doc_id) group by all",
     "residual_codec_roundtrip": f"with {CODEC} select doc_id, tok_idx, round(list_sum(emb), 3) as total from b",
     "compressed_maxsim": f"with {CODEC}, cand as (select distinct query_id, doc_id from (select distinct doc_id, centroid_id from b) join (select distinct query_id, centroid_id from qn where rn <= 2) using (centroid_id)) , {maxsim('b', 'ms', 'cand')} {top('ms', 5, 4)}",
-    "sim_graph": "with e as (select a.vec_id as src, b.vec_id as dst, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as w from embeddings a join embeddings b on a.vec_id <> b.vec_id), k as (select *, row_number() over (partition by src order by w desc, dst) as rn from e where w >= 0.25) select distinct least(src, dst) as src, greatest(src, dst) as dst, round(w, 5) as w from k where rn <= 5",
+    "sim_graph": "with e as (select a.vec_id as src, b.vec_id as dst, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as w from embeddings a join embeddings b on a.vec_id <> b.vec_id), k as (select *, row_number() over (partition by src order by w desc, dst) as rn from e where w >= 0.25) select distinct least(src, dst) as src, greatest(src, dst) as dst, w from k where rn <= 5",
     "community_summary": f"with {DOCS}, s as (select doc_id, doc_id % 20 as label, case when contains(text, '. ') then split_part(text, '. ', 1) else substr(text, 1, 100) end as s from docs), r as (select *, row_number() over (partition by label order by doc_id) as rn from s) select label, count(*) as size, md5(string_agg(case when rn <= 5 then s end, ' ' order by doc_id)) as summary_md5 from r group by label",
     "community_expansion": f"with {chunks()}, {QUERY}, {dense(10, 'r')}, t as (select distinct query_id, doc_id % 97 as label from r where rank <= 3), m as (select distinct t.query_id, d.doc_id from t join docs d on d.doc_id % 97 = t.label), s as (select query_id, doc_id, score from r union all select query_id, doc_id, 0.3 from m where (query_id, doc_id) not in (select (query_id, doc_id) from r)) {top('s', 10)}",
     "tree_leaves": "select node_id, level from (select 'r' || r_regionkey as node_id, 2 as level from region union all select 'n' || n_nationkey, 1 from nation union all select 's' || s_suppkey, 0 from supplier) where node_id not in (select 'r' || n_regionkey from nation union all select 'n' || s_nationkey from supplier)",

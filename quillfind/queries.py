@@ -339,7 +339,7 @@ def _graph(spark, sf):
 
 @query
 def sim_graph(spark, sf):
-    return _graph(spark, sf).select("src", "dst", F.round("w", 5).alias("w"))
+    return _graph(spark, sf).select("src", "dst", F.round("w", 6).alias("w"))
 
 
 @query
