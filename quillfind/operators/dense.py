@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from .fusion import max_pool, ranked
@@ -57,7 +58,7 @@ def block_scores(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     parts = max(1, -(-queries.count() * 8 * width[0]["n"] // QUERY_BYTES))
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
-    out = None
+    out, query_type = None, to_arrow_type(queries.schema["query_id"].dataType)
     for part in range(parts):
         mine = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else queries
         rows = mine.select("query_id", "emb").collect()
@@ -82,7 +83,7 @@ def block_scores(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 top = np.argsort(-best.round(6), axis=0, kind="stable")[:take]
                 q = np.repeat(np.arange(len(ids)), take)
                 d = top.T.ravel()
-                yield pa.record_batch([pa.array(ids[q].tolist()), pa.array(np.asarray(names)[d].tolist()), pa.array(best[d, q])], ["query_id", "doc_id", "score"])
+                yield pa.record_batch([pa.array(ids[q].tolist(), query_type), pa.array(np.asarray(names)[d].tolist(), batch.column(0).type), pa.array(best[d, q])], ["query_id", "doc_id", "score"])
 
         got = vectors.select("doc_id", "emb").mapInArrow(score, schema)
         out = got if out is None else out.unionByName(got)

@@ -49,21 +49,20 @@ def similarity_graph(vectors: DataFrame, threshold: float = 0.5, neighbours: int
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node_id, label): every round each node takes the label of greatest edge weight among its neighbours (ties: the
-    smallest label). Odd and even rounds move one half of the nodes each, so that two nodes don't swap for ever.
-    Isolated nodes keep their own label. The lineage is cut every round by a checkpoint."""
+    """(node_id, label): every round nodes take the label of greatest edge weight among their neighbours (ties: the
+    smallest label). In each round a different half of the nodes, chosen by hash, may move, so that neighbours don't
+    swap labels for ever; it ends when no node wants to move, or after two times `rounds` halves. Isolated nodes keep
+    their own label. The lineage is cut every round by a checkpoint."""
     both = edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).filter("src <> dst")
     labels = nodes.select("node_id", F.col("node_id").alias("label"))
-    quiet = 0
     for k in range(2 * rounds):
         votes = both.join(labels.select(F.col("node_id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.round(F.sum("w"), 9).alias("w"))
         best = votes.groupBy("src").agg(F.min_by("label", F.struct((-F.col("w")).alias("a"), "label")).alias("best"))
-        moves = F.pmod(F.xxhash64("node_id"), F.lit(2)) == k % 2
-        new = labels.join(best.withColumnRenamed("src", "node_id"), "node_id", "left").select("node_id", F.when(moves, F.coalesce("best", "label")).otherwise(F.col("label")).alias("new"), F.col("label").alias("old"))
-        new = new.checkpoint(eager=True)
-        quiet = quiet + 1 if not new.filter("new <> old").limit(1).count() else 0
-        labels = new.select("node_id", F.col("new").alias("label"))
-        if quiet == 2:
+        moves = F.pmod(F.xxhash64("node_id", F.lit(k)), F.lit(2)) == 0
+        new = labels.join(best.withColumnRenamed("src", "node_id"), "node_id", "left").withColumn("best", F.coalesce("best", "label"))
+        new = new.select("node_id", F.when(moves, F.col("best")).otherwise(F.col("label")).alias("label"), (F.col("best") != F.col("label")).alias("wants")).checkpoint(eager=True)
+        labels = new.select("node_id", "label")
+        if not new.filter("wants").limit(1).count():
             break
     return labels
 

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .fusion import dot, ranked
 
@@ -53,7 +54,7 @@ def maxsim_scores(doc_tokens: DataFrame, query_tokens: DataFrame, candidates: Da
 
         return pairs.select("query_id", "doc_id", "d", "m").mapInArrow(score_pairs, schema)
     size = query_tokens.select(F.size("emb").alias("n")).agg(F.sum(F.col("n") * 8).alias("b")).first()["b"] or 0
-    parts, out = max(1, -(-size // QUERY_BYTES)), None
+    parts, out, query_type = max(1, -(-size // QUERY_BYTES)), None, to_arrow_type(qs.schema["query_id"].dataType)
     for part in range(parts):
         rows = (qs.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else qs).collect()
         if not rows:
@@ -67,7 +68,7 @@ def maxsim_scores(doc_tokens: DataFrame, query_tokens: DataFrame, candidates: Da
                 for k in range(batch.num_rows):
                     d = unit(np.array(batch.column(1)[k].as_py(), dtype=float))
                     sums = np.add.reduceat((every @ d.T).max(axis=1), first)
-                    yield pa.record_batch([pa.array(ids), pa.array([batch.column(0)[k].as_py()] * len(ids)), pa.array(sums)], ["query_id", "doc_id", "score"])
+                    yield pa.record_batch([pa.array(ids, query_type), pa.array([batch.column(0)[k].as_py()] * len(ids), batch.column(0).type), pa.array(sums)], ["query_id", "doc_id", "score"])
 
         got = docs.mapInArrow(score, schema)
         out = got if out is None else out.unionByName(got)
