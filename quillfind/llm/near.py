@@ -11,12 +11,11 @@ join. For the others:
     these is filled unless both sets have more than e empty ones. Sets that do (few) also send the keys of a second,
     third and fourth sketch with other seeds, and after the fourth the empty segments themselves. No link is lost.
  3. Sets that share a key are compared with two of them, the smallest and the largest id. These pairs are as many as
-    the keys at most, are made distinct, are dropped if sizes or the Hamming distance of 1024-bit parity sketches (a
+    the keys at most, are made distinct, are dropped if sizes or the Hamming distance of parity sketches (a
     lower bound of the difference) rule a link out, and are verified exactly on the whole sets.
  4. A key whose sets are one component already needs nothing more. The sets of other keys (with three or more sets)
-    are gathered by key sharing into clusters, dealt to pairs of blocks of bounded size, and compared there by the
-    Hamming distance of parity sketches, then exactly. Blocks give back links that join different components only, at
-    most one for each set.
+    are gathered by key sharing into clusters, and their sketches dealt to pairs of blocks of bounded size. Pairs of
+    different components that sizes and sketches don't rule out are verified exactly as above.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and are their own component; with
 fewer than n words, the whole word sequence is the one shingle; a row that is there twice is a copy of itself; ids are
@@ -39,11 +38,12 @@ from .shared import session, stored
 
 WORDS, NUM, DEN = 4, 85, 100
 #: Sets in a block of step 4, and document ids that are broadcast at most (8 bytes each).
-BLOCK, BROADCAST_IDS = 3000, 1_000_000
+BLOCK, BROADCAST_IDS = 8192, 1_000_000
 LEVELS = 4
 _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 FEATURES = "doc_id long, n long, h1 long, h2 long, sketch array<long>"
-#: 64-bit words of the parity sketch that candidates are tested with before their sets are fetched.
+#: Least 64-bit words of the parity sketch that candidates are tested with before their sets are fetched; larger sets
+#: have two bits a shingle at least, in a power of two.
 SKETCH = 16
 
 
@@ -144,21 +144,28 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(np.array(b, dtype=U).astype(np.int64))
 
 
-def parity(s: np.ndarray, words: int) -> np.ndarray:
-    """Every shingle flips one of 64 * words bits: sets differ in at least as many shingles as sketches in bits."""
-    spot = (mix(s.astype(U)) & U(64 * words - 1)).astype(np.int64)
-    return np.packbits((np.bincount(spot, minlength=64 * words) & 1).astype(np.uint8)).view(U)
+def parity(s: np.ndarray) -> np.ndarray:
+    """Every shingle flips one bit of the sketch: sets differ in at least as many shingles as sketches in bits. The
+    halves of a sketch, XORed, are the sketch of half the size."""
+    bits = max(64 * SKETCH, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64 * SKETCH
+    spot = (mix(s.astype(U)) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(spot, minlength=bits) & 1).astype(np.uint8)).view(U)
+
+
+def _fold(m: np.ndarray) -> np.ndarray:
+    half = m.shape[-1] // 2
+    return m[..., :half] ^ m[..., half:]
 
 
 def features(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """(doc_id, set size, 128-bit digest, parity sketch of 1024 bits)."""
+    """(doc_id, set size, 128-bit digest, parity sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in slices(batch.column(1)):
                 sets = shingle_sets(data, offsets, n)
                 digests = [_digest(s) for s in sets]
-                yield pa.record_batch([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([parity(s, SKETCH).astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "h1", "h2", "sketch"])
+                yield pa.record_batch([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([parity(s).astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "h1", "h2", "sketch"])
 
     return docs.mapInArrow(run, FEATURES)
 
@@ -208,44 +215,45 @@ def _linked(a, b, num: int, den: int):
 
 def _compare_blocks(num: int, den: int):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        """Links between different components among the sets of one pair of blocks; at most one for each set."""
-        group = group.sort_values("rep", kind="stable")
-        reps, side, own = group["rep"].to_numpy(), group["side"].to_numpy(), group["block_i"].iloc[0] == group["block_j"].iloc[0]
-        sets = [np.asarray(s) for s in group["shingles"]]
-        sizes = np.array([len(s) for s in sets])
-        parent = {x: x for x in group["label"].tolist()}
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        labels = group["label"].tolist()
-        bits = np.array([parity(s, SKETCH) for s in sets])
-        left = np.flatnonzero(side == 0)
-        right = left if own else np.flatnonzero(side == 1)
+        """Pairs with different labels, of one pair of blocks, that sizes and sketches don't rule out. Sets are ordered
+        by size, so each is compared with those of a size that it can link with only."""
+        own = group["block_i"].iloc[0] == group["block_j"].iloc[0]
+        group = group.sort_values(["n", "rep"], kind="stable")
+        sides = [group] * 2 if own else [group[group["side"] == k] for k in (0, 1)]
+        (rep, n, label), (rep2, n2, label2) = [(g["rep"].to_numpy(), g["n"].to_numpy(), g["label"].to_numpy()) for g in sides]
+        bits = [np.asarray(x, dtype=np.int64).view(U) for x in sides[0]["sketch"]]
+        # The right side's sketches by width, which grows with the size: each width is one run of rows.
+        widths = np.array([len(x) for x in sides[1]["sketch"]], dtype=np.int64)
+        runs = {w: (int(np.searchsorted(widths, w, "left")), int(np.searchsorted(widths, w, "right"))) for w in np.unique(widths).tolist()}
+        tables = {w: np.stack([np.asarray(x, dtype=np.int64) for x in sides[1]["sketch"].iloc[x0:x1]]).view(U) for w, (x0, x1) in runs.items()}
+        folded = {w: _fold(t) for w, t in tables.items() if w > SKETCH}
+        low, high = np.searchsorted(n2, -(-n * num // den), "left"), np.searchsorted(n2, n * den // num, "right")
         out = []
-        for a in left.tolist():
-            others = right[right > a] if own else right
-            if not len(others):
-                continue
-            total = sizes[a] + sizes[others]
-            allowed = total * (den - num) // (den + num)
-            near = np.bitwise_count(bits[others] ^ bits[a]).sum(axis=1) <= allowed
-            for b in others[near & (np.minimum(sizes[a], sizes[others]) * den >= np.maximum(sizes[a], sizes[others]) * num)].tolist():
-                x, y = root(labels[a]), root(labels[b])
-                if x == y:
+        for k in range(len(rep)):
+            mine, w = bits[k], len(bits[k])
+            for other, (x0, x1) in runs.items():
+                x, y = max(low[k], k + 1 if own else 0, x0), min(high[k], x1)
+                if y <= x or other not in (w, 2 * w, w // 2):
                     continue
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if both * den >= (sizes[a] + sizes[b] - both) * num:
-                    parent[max(x, y)] = min(x, y)
-                    out.append((reps[a], reps[b]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                theirs = (folded[other] if other > w else tables[other])[x - x0 : y - x0]
+                apart = np.bitwise_count(theirs ^ (_fold(mine) if other < w else mine)).sum(axis=1, dtype=np.int64)
+                hit = x + np.flatnonzero((apart * (den + num) <= (n2[x:y] + n[k]) * (den - num)) & (label2[x:y] != label[k]))
+                out.append(np.stack([np.full(len(hit), rep[k]), rep2[hit]]))
+        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pd.DataFrame({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
 
     return compare
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets; stored."""
+    pairs = stored(pairs, "near-pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    of = _sets_of(docs, ids, words).dropDuplicates(["doc_id"])
+    both = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    return stored(both.filter(_linked(F.col("x"), F.col("y"), num, den)).select("a", "b"), "near-links")
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per input row. Two documents link when den * intersection >=
     num * union; component_id is the smallest doc_id reachable by links."""
@@ -270,14 +278,13 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     light = full.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     for end in ("a", "b"):
         star = star.join(light.select(F.col("doc_id").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}")), end)
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    half = lambda v: F.zip_with(F.slice(v, F.lit(1), (F.size(v) / 2).cast("int")), F.slice(v, (F.size(v) / 2).cast("int") + 1, (F.size(v) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    star = star.withColumn("sa", F.when(F.size("sa") > F.size("sb"), half(F.col("sa"))).otherwise(F.col("sa"))).withColumn("sb", F.when(F.size("sb") > F.size("sa"), half(F.col("sb"))).otherwise(F.col("sb")))
+    # Sizes that may link differ by less than two, so one fold makes the sketches equally wide; others are ruled out.
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + F.coalesce(x, F.lit(0)))
     close = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
     star = star.filter(close).select("a", "b")
-    star = stored(star, "near-pairs")
-    ids = star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))).distinct()
-    of = stored(_sets_of(docs, ids, words).dropDuplicates(["doc_id"]), "near-sets")
-    pairs = star.join(of.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    links = stored(pairs.filter(_linked(F.col("x"), F.col("y"), num, den)).select("a", "b"), "near-links")
+    links = _verified(star, docs, words, num, den)
     labels = components(links)
 
     # Keys of three sets or more that are not one component yet.
@@ -291,9 +298,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         dealt = members.join(sizes, "cluster").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("cluster", "rep", "label", F.least("mine", "other").alias("block_i"), F.greatest("mine", "other").alias("block_j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-        dealt = dealt.join(of.withColumnRenamed("doc_id", "rep"), "rep")
-        more = dealt.groupBy("cluster", "block_i", "block_j").applyInPandas(_compare_blocks(num, den), "a long, b long")
-        links = stored(links.unionByName(more), "near-links")
+        dealt = dealt.join(light.withColumnRenamed("doc_id", "rep"), "rep")
+        more = dealt.groupBy("cluster", "block_i", "block_j").applyInPandas(_compare_blocks(num, den), "a long, b long").distinct()
+        links = links.unionByName(_verified(more, docs, words, num, den))
         labels = components(links)
 
     out = rows.select("doc_id", "n", "h1", "h2").join(copies, ["h1", "h2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
