@@ -1,12 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items; Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds join training passages to test items; Smith-Waterman scores them.
 
  1. The items' word n-grams are the seeds. One pass over all documents counts in how many documents each seed stands.
  2. A seed is rare if it stands in at most RARE_SHARE of the documents, or in no more than the median of its own
-    item's seeds: so every item keeps at least half of its seeds, an item whose text is everywhere too.
- 3. A second pass joins documents to items on rare seeds. Around each run of seeds on neighbouring diagonals, the
+    item's seeds.
+ 3. A second pass joins documents to items on all seeds. Around each run of seeds on neighbouring diagonals, the
     item is aligned with the document's words (match 1, mismatch and gap -1). A pair is reported if the best
     alignment reaches MIN_SCORE of the score of an exact copy.
 
+A rare seed is evidence enough for an alignment. A pair that has common seeds only (an edited copy in many documents
+keeps no others) is aligned unless too few of the item's words stand in the window for MIN_SCORE: an alignment has no
+more matches than that, so the test loses no pair.
+
 The items are sent to the workers in parts of at most ITEM_WORDS words, each with its own passes, so what is sent is
 bounded however many items there are. No document's words are shuffled.
 
@@ -29,6 +33,8 @@ from .shared import session
 
 SEED, RARE_SHARE, MIN_SCORE = 3, 0.0005, 0.5
 ITEM_WORDS = 2_000_000
+#: Seed places that are looked at together (a document's are never parted).
+PLACES = 1_000_000
 LEAKS = "doc_id long, item_id long, score double, alignment int, item_words int, first_word long, last_word long"
 
 
@@ -64,8 +70,8 @@ class Seeds:
         self.table = np.zeros(1 << 20, dtype=bool)
         self.table[(self.hashes & U((1 << 20) - 1)).astype(np.int64)] = True
 
-    def keep_rare(self, counts: np.ndarray, documents: int, share: float) -> None:
-        """Drop the places of seeds that are rare neither by share nor within their item."""
+    def mark_rare(self, counts: np.ndarray, documents: int, share: float) -> None:
+        """Mark the places of seeds that are rare by share or within their item."""
         own = counts[self.number]
         limit = np.full(len(self.items), share * documents)
         order = np.lexsort((own, self.item))
@@ -73,11 +79,7 @@ class Seeds:
         for k, (a, b) in enumerate(zip(edges, edges[1:])):
             if b > a:
                 limit[k] = max(limit[k], own[order[(a + b - 1) // 2]])
-        use = own <= limit[self.item]
-        left, number = np.unique(self.number[use], return_inverse=True)
-        item, pos = self.item[use], self.pos[use]
-        self.hashes = self.hashes[left]
-        self._place(number, item, pos)
+        self.rare = own <= limit[self.item]
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(seed number, index of its first word) of all seeds in the texts."""
@@ -105,8 +107,9 @@ def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _align(item: np.ndarray, text: np.ndarray, starts: np.ndarray) -> tuple[int, int, int]:
-    """Best (score, first word, end) over the windows around the diagonals on which seeds lie."""
+def _align(item: np.ndarray, text: np.ndarray, starts: np.ndarray, least: float = 0) -> tuple[int, int, int]:
+    """Best (score, first word, end) over the windows around the diagonals on which seeds lie. Windows with fewer than
+    `least` of the item's words are passed over: an alignment there scores less."""
     size = len(item)
     slack = size // 2 + 2
     starts = np.unique(starts)
@@ -116,7 +119,7 @@ def _align(item: np.ndarray, text: np.ndarray, starts: np.ndarray) -> tuple[int,
         # A long run is cut into windows that overlap by more than an item, so that none is without bound.
         for lo in range(int(run[0]) - slack, int(run[-1]) + 1, 4 * size + 64):
             a, b = max(0, lo), min(len(text), lo + 6 * size + 64 + 2 * slack)
-            if b <= a:
+            if b <= a or (least and np.isin(item, text[a:b]).sum() < least):
                 continue
             score, end = smith_waterman(item, text[a:b])
             if score > best[0]:
@@ -172,9 +175,27 @@ def _part(docs: DataFrame, items: list, n: int, min_score: float, share: float)
         counts[r["seed"]] = r["n"]
     rare = Seeds.__new__(Seeds)
     rare.__dict__.update(seeds.__dict__)
-    rare.keep_rare(counts[:-1], int(counts[-1]), share)
+    rare.mark_rare(counts[:-1], int(counts[-1]), share)
     sent_rare = spark.sparkContext.broadcast(rare)
 
+    def rows_of(s: Seeds, words: Words, number: np.ndarray, at: np.ndarray, at0: int) -> list[tuple]:
+        times = s.edge[number + 1] - s.edge[number]
+        place = np.repeat(s.edge[number], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        text = words.text_of[np.repeat(at, times)]
+        item, known = s.item[place], s.rare[place]
+        start = np.repeat(at, times) - words.first[text] - s.pos[place]
+        order = np.lexsort((start, item, text))
+        text, item, start, known = text[order], item[order], start[order], known[order]
+        new = np.flatnonzero(np.diff(text * len(s.items) + item, prepend=-1))
+        rows = []
+        for a, b in zip(new, np.append(new[1:], len(text))):
+            own = s.items[item[a]]
+            least = 0 if known[a:b].any() else min_score * len(own)
+            score, first, end = _align(own, words.hash[words.first[text[a]] : words.first[text[a] + 1]], start[a:b], least)
+            if score >= min_score * len(own):
+                rows.append((at0 + int(text[a]), int(s.ids[item[a]]), score / len(own), score, len(own), first, end - 1))
+        return rows
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sent_rare.value
         for batch in batches:
@@ -184,19 +205,12 @@ def _part(docs: DataFrame, items: list, n: int, min_score: float, share: float)
                 if not len(number):
                     continue
                 times = s.edge[number + 1] - s.edge[number]
-                place = np.repeat(s.edge[number], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                text = words.text_of[np.repeat(at, times)]
-                item = s.item[place]
-                start = np.repeat(at, times) - words.first[text] - s.pos[place]
-                order = np.lexsort((start, item, text))
-                text, item, start = text[order], item[order], start[order]
-                new = np.flatnonzero(np.diff(text * len(s.items) + item, prepend=-1))
+                total, of = np.cumsum(times), words.text_of[at]
+                block = (total - times)[np.searchsorted(of, of)] // PLACES
+                edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
                 rows = []
-                for a, b in zip(new, np.append(new[1:], len(text))):
-                    own = s.items[item[a]]
-                    score, first, end = _align(own, words.hash[words.first[text[a]] : words.first[text[a] + 1]], start[a:b])
-                    if score >= min_score * len(own):
-                        rows.append((at0 + int(text[a]), int(s.ids[item[a]]), score / len(own), score, len(own), first, end - 1))
+                for x, y in zip(edges, edges[1:]):
+                    rows += rows_of(s, words, number[x:y], at[x:y], at0)
                 if rows:
                     c = list(zip(*rows))
                     yield pa.record_batch([batch.column(0).take(pa.array(c[0])), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.int64()), pa.array(c[6], pa.int64())], [x.split()[0] for x in LEAKS.split(", ")])
