@@ -3,8 +3,8 @@
 A logistic regression over the presence of selected words and word beginnings. Features are found by a Spark count
 over the labelled rows: those that stand in toxic texts far more often than in others (by the log-likelihood
 ratio). Identity terms are features as well. For every labelled sentence with an identity term, copies with the term
-swapped for others of its kind are made; training penalises the squared difference of their scores, so a mention of a
-group by itself does not change the verdict. Where labelled sentences name no group, terms are placed into a bounded
+swapped (the word and its beginnings) for others of its kind are made; training penalises the squared difference of
+their scores, so a mention of a group by itself does not change the verdict. Where labelled sentences name no group, terms are placed into a bounded
 number of them, so that the penalty is never empty.
 
 Learning uses at most SAMPLE labelled rows (the smallest hashes of their ids), a bound that does not grow with the
@@ -99,6 +99,15 @@ def identity_terms(groups: dict[str, str] = IDENTITY) -> dict[int, list[int]]:
     return out
 
 
+def term_features(groups: dict[str, str] = IDENTITY) -> dict[int, list[int]]:
+    """Each term's hash to the hashes of all its features: the word and its beginnings."""
+    out = {}
+    for term in " ".join(groups.values()).split():
+        data = np.frombuffer(term.encode(), np.uint8)
+        out[word_hash(term)] = _distinct(data, np.array([0, len(data)]))[1].tolist()
+    return out
+
+
 def _count(rows: DataFrame) -> DataFrame:
     """(feature, toxic, clean): in how many toxic and other texts each feature stands."""
 
@@ -170,7 +179,15 @@ def _fit(hashes: np.ndarray, rows: list[tuple[list[int], int, int]], swaps: dict
         pairs.append((k * 7919 % len(rows), f, terms[f][k % len(terms[f])]))
     pairs = pairs[: 20 * SAMPLE]
     base = np.array([p[0] for p in pairs])
-    one, two = np.array([p[1] for p in pairs]), np.array([p[2] for p in pairs])
+    # The selected features of each term: all of them are swapped.
+    own = {index[h]: [index[f] for f in every if f in index] for h, every in term_features().items() if h in index}
+    number = {f: k for k, f in enumerate(own)}
+    has = np.zeros((len(own), len(hashes)))
+    for f, k in number.items():
+        has[k, own[f]] = 1
+    one, two = np.array([number[p[1]] for p in pairs]), np.array([number[p[2]] for p in pairs])
+    gone = [(j, f) for j, (i, a, b) in enumerate(pairs) for f in {*own[a], *own[b]} if x[i, f]]
+    gone_pair, gone_feature = (np.array(c, dtype=np.int64) for c in zip(*gone)) if gone else (np.zeros(0, np.int64),) * 2
     w, b = np.zeros(len(hashes)), float(np.log(n[y == 1].sum() / n[y == 0].sum()))
     m, v, total = np.zeros(len(hashes) + 1), np.zeros(len(hashes) + 1), n.sum()
     sigmoid = lambda a: 1 / (1 + np.exp(-np.clip(a, -40, 40)))
@@ -180,11 +197,11 @@ def _fit(hashes: np.ndarray, rows: list[tuple[list[int], int, int]], swaps: dict
         g = n * (sigmoid(score) - y) / total
         grad = np.append(x.T @ g + RIDGE * w / len(hashes), g.sum())
         # without either term, the row's logit; with each of the two, what the classifier says
-        rest = score[base] - w[one] * x[base, one] - w[two] * x[base, two]
-        pa_, pb = sigmoid(rest + w[one]), sigmoid(rest + w[two])
+        rest, term = score[base] - np.bincount(gone_pair, weights=w[gone_feature], minlength=len(pairs)), has @ w
+        pa_, pb = sigmoid(rest + term[one]), sigmoid(rest + term[two])
         diff = pa_ - pb
-        np.add.at(grad, one, 2 * PENALTY * diff * pa_ * (1 - pa_) / len(pairs))
-        np.add.at(grad, two, -2 * PENALTY * diff * pb * (1 - pb) / len(pairs))
+        pull = np.bincount(one, weights=diff * pa_ * (1 - pa_), minlength=len(own)) - np.bincount(two, weights=diff * pb * (1 - pb), minlength=len(own))
+        grad[:-1] += 2 * PENALTY * (pull @ has) / len(pairs)
         gap = float(np.abs(diff).mean())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
