@@ -17,12 +17,13 @@ from ..operators.fusion import ranked, reciprocal_rank_fusion
 
 
 class Context:
-    """A corpus with settings and encoders. `token_encoder(df, key)` gives (key, tok_idx, emb) rows."""
+    """A corpus with settings and encoders. `token_encoder(df, key)` gives (key, tok_idx, emb) rows; the built-in one
+    has no position limit and encodes whole texts (`config.encoder.max_doc_length` is for neural plug-ins)."""
 
     def __init__(self, corpus: DataFrame, config: Experiment | None = None, encoder: dense.Encoder | None = None, token_encoder: Callable | None = None):
         self.corpus, self.config = corpus, config or Experiment()
         self.encoder = encoder or partial(dense.hash_encoder, d=self.config.encoder.projection_dim)
-        self.token_encoder = token_encoder or partial(hash_tokens, d=32, limit=self.config.encoder.max_doc_length)
+        self.token_encoder = token_encoder or partial(hash_tokens, d=32)
 
     @property
     def k(self) -> int:
@@ -66,9 +67,11 @@ class Context:
         return graph.label_propagation(nodes, edges).join(nodes.select("node_id", "doc_id"), "node_id").select("doc_id", "label").distinct()
 
 
-def hash_tokens(df: DataFrame, key: str, d: int = 32, limit: int = 256) -> DataFrame:
-    """(key, tok_idx, emb): each of the first `limit` tokens as the hash encoder's vector of it and its neighbours."""
-    t = df.select(key, F.slice(T.tokens(F.col("text")), 1, limit).alias("t"))
+def hash_tokens(df: DataFrame, key: str, d: int = 32, limit: int | None = None) -> DataFrame:
+    """(key, tok_idx, emb): each token (of the first `limit`, if given) as the hash encoder's vector of it and its
+    neighbours."""
+    tokens = T.tokens(F.col("text"))
+    t = df.select(key, (tokens if limit is None else F.slice(tokens, 1, limit)).alias("t"))
     near = F.transform("t", lambda x, i: F.concat(F.array(x), F.slice("t", F.greatest(i, F.lit(1)), F.least(i, F.lit(1))), F.slice("t", i + 2, 1)))
     return t.select(key, F.posexplode(near).alias("tok_idx", "n")).select(key, "tok_idx", dense.hash_encode(F.col("n"), d).alias("emb"))
 
