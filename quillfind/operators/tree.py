@@ -18,8 +18,8 @@ from .dense import Encoder, block_scores, hash_encoder
 from .fusion import max_pool, ranked
 
 SOFT, MIN_NODES, MAX_K, MAX_LEVELS, REDUCED = 0.1, 3, 10, 6, 10
-#: Rows on which mixture models are fitted at most (in hash order); all rows are assigned.
-FIT_ROWS = 20_000
+#: Rows in a partition of what components and mixture models are fitted on (all rows).
+PART_ROWS = 20_000
 
 
 def bic(log_likelihood: float, k: int, d: int, n: int) -> float:
@@ -40,18 +40,18 @@ def soft_clusters(vectors: DataFrame, threshold: float = SOFT, max_k: int = MAX_
     if n < 4:
         return v.select("node_id", F.lit(0).alias("cluster"), F.lit(1.0).alias("p"))
     d = max(1, min(d, n - 2, width))
-    sample = v.orderBy(F.xxhash64("node_id"), "node_id").limit(FIT_ROWS).coalesce(1).persist()
-    reducer = PCA(k=d, inputCol="full", outputCol="v").fit(sample)
-    fit_on, rows = reducer.transform(sample).persist(), reducer.transform(v)
+    ordered = v.repartition(-(-n // PART_ROWS), "node_id").sortWithinPartitions(F.xxhash64("node_id"), "node_id").persist()
+    reducer = PCA(k=d, inputCol="full", outputCol="v").fit(ordered)
+    rows = reducer.transform(ordered).persist()
     best, best_bic, worse = None, None, 0
     for k in range(2, min(max_k, n - 1) + 1):
         try:
-            model = GaussianMixture(k=k, seed=seed, featuresCol="v", maxIter=20).fit(fit_on)
+            model = GaussianMixture(k=k, seed=seed, featuresCol="v", maxIter=20).fit(rows)
         except Exception as e:  # a degenerate covariance: this k can't be fitted
             if "did not converge" not in str(e) and "not positive" not in str(e) and "Lapack" not in str(e) and "singular" not in str(e).lower():
                 raise
             continue
-        score = bic(model.summary.logLikelihood, k, d, min(n, FIT_ROWS))
+        score = bic(model.summary.logLikelihood, k, d, n)
         if best_bic is None or score < best_bic:
             best, best_bic, worse = model, score, 0
         elif (worse := worse + 1) == 2:
