@@ -1,7 +1,8 @@
 """License detection by ordered signature rules.
 
-A rule is a regex over the lower-cased text, gated by keywords: it runs only on texts that have all of its keywords as
-words, which one vectorised pass over the bytes finds out. Rules are ordered by priority (texts of licenses before
+A rule is a regex over the lower-cased text, in which a run of blanks is one space, gated by keywords: it runs only on
+texts that have all of its keywords as words, which one vectorised pass over the bytes finds out. Where a version may be
+glued to a name (GPLv3, Apache2.0), the name before a number counts as a word. Rules are ordered by priority (texts of licenses before
 full names with version, before identifiers, before addresses, before bare names). A detection is suppressed where its
 interval lies in that of a detection of a higher priority, or of the same priority and greater length (then of the
 earlier rule). Base phrases are found by word sequence, wherever their words stand consecutively, and are never
@@ -90,9 +91,9 @@ _TEXTS = (
     ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain"),
     ("wtfpl", "want", r"do what the f\w+ you want to public license"),
     ("beerware", "beer", r"you can buy me a beer in return"),
-    ("gpl-or-later", "redistribute", r"either version \d(?:\.\d)? of the license, or \(at your option\) any later version"),
+    ("gpl-or-later", "later", r"either version \d(?:\.\d)? of the license, or \(at your option\) any later version"),
     ("gpl", "foundation", r"under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "foundation", r"under the terms of the gnu (?:lesser|library) general public license as published"),
+    ("lgpl", "published", r"under the terms of the gnu (?:lesser|library) general public license as published"),
     ("agpl", "affero", r"under the terms of the gnu affero general public license"),
     ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license"),
     ("public-domain", "public", r"(?:dedicated|released|placed) (?:in)?to the public domain"),
@@ -132,6 +133,21 @@ def rules() -> tuple[Rule, ...]:
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
+#: Names that a version can follow without a break, in lower-cased bytes. None of them begins another.
+GLUED = re.compile(rb"(" + "|".join(sorted({f[0] for f in _FAMILIES} | {"wtfpl"}, key=len, reverse=True)).encode() + rb")v?[0-9]")
+
+
+def collapsed(text: str) -> tuple[str, np.ndarray | None]:
+    """The text with each run of blanks as one space, and the places of its characters in the text (None: the same)."""
+    if not re.search(r"[ \t\r\n]{2}", text):
+        return re.sub(r"[\t\r\n]", " ", text), None
+    code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    blank = (code == 32) | (code == 9) | (code == 13) | (code == 10)
+    keep = np.ones(len(code), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    return np.where(blank, np.uint32(32), code)[keep].tobytes().decode("utf-32-le"), np.flatnonzero(keep)
+
+
 class Scanner:
     def __init__(self, ruleset: tuple[Rule, ...] | None = None):
         self.rules = ruleset or rules()
@@ -140,6 +156,7 @@ class Scanner:
         hashes = np.array([word_hash(w) for w in words], dtype=U)
         order = np.argsort(hashes)
         self.hashes, number = hashes[order], {words[k]: n for n, k in enumerate(order.tolist())}
+        self.number = number
         self.needs = [frozenset(number[w] for w in r.keywords) for r in self.rules]
         self.base = [([word_hash(w) for w in phrase.split()], label) for phrase, label in BASE]
 
@@ -176,13 +193,21 @@ class Scanner:
         present: dict[int, set[int]] = {}
         for t, k in set(zip(text_of[keyed].tolist(), at[keyed].tolist())):
             present.setdefault(t, set()).add(k)
+        blob = words.data.tobytes()
+        for t in range(n):
+            for m in GLUED.finditer(blob, int(offsets[t]), int(offsets[t + 1])):
+                if (k := self.number.get(m[1].decode())) is not None:
+                    present.setdefault(t, set()).add(k)
         out = []
         for t in range(n):
             mine = base.get(t, [])
             kept = []
             if t in present and any(need <= present[t] for need in self.needs):
                 text = words.data[offsets[t] : offsets[t + 1]].tobytes().decode("utf-8", "replace")
-                kept = self.detect(re.sub(r"[ \t\r\n]", " ", text), present[t])
+                text, place = collapsed(text)
+                kept = self.detect(text, present[t])
+                if place is not None:
+                    kept = [(k, int(place[s]), int(place[e - 1]) + 1) for k, s, e in kept]
             labels = {label for _, label in mine} | {self.rules[k].label for k, _, _ in kept}
             score = max([BASE_SCORE] * bool(mine) + [self.rules[k].score for k, _, _ in kept], default=0.0)
             spans = [{"label": self.rules[k].label, "rule": self.rules[k].name, "start": s, "end": e, "score": self.rules[k].score} for k, s, e in sorted(kept, key=lambda x: x[1:])]
