@@ -30,7 +30,7 @@ def bic(log_likelihood: float, k: int, d: int, n: int) -> float:
 
 def soft_clusters(vectors: DataFrame, threshold: float = SOFT, max_k: int = MAX_K, seed: int = 42, d: int = REDUCED) -> DataFrame:
     """(node_id, cluster, p) of every membership above the threshold. Vectors are reduced by principal components; the
-    number of mixture components is that of the lowest BIC; the search ends when two more components were no better."""
+    number of mixture components is that of the lowest BIC of all from 2 to max_k (the smaller at ties)."""
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -43,7 +43,7 @@ def soft_clusters(vectors: DataFrame, threshold: float = SOFT, max_k: int = MAX_
     ordered = v.repartition(-(-n // PART_ROWS), "node_id").sortWithinPartitions(F.xxhash64("node_id"), "node_id").persist()
     reducer = PCA(k=d, inputCol="full", outputCol="v").fit(ordered)
     rows = reducer.transform(ordered).persist()
-    best, best_bic, worse = None, None, 0
+    best, best_bic = None, None
     for k in range(2, min(max_k, n - 1) + 1):
         try:
             model = GaussianMixture(k=k, seed=seed, featuresCol="v", maxIter=20).fit(rows)
@@ -53,9 +53,7 @@ def soft_clusters(vectors: DataFrame, threshold: float = SOFT, max_k: int = MAX_
             continue
         score = bic(model.summary.logLikelihood, k, d, n)
         if best_bic is None or score < best_bic:
-            best, best_bic, worse = model, score, 0
-        elif (worse := worse + 1) == 2:
-            break
+            best, best_bic = model, score
     if best is None:
         return v.select("node_id", F.lit(0).alias("cluster"), F.lit(1.0).alias("p"))
     p = best.transform(rows).select("node_id", F.posexplode(vector_to_array("probability")).alias("cluster", "p"))

@@ -29,3 +29,11 @@ def test_models_are_fitted_on_all_rows(spark, fits, monkeypatch):
     monkeypatch.setattr(tree, "PART_ROWS", 50, raising=False)
     got = tree.soft_clusters(vectors(spark, 200), max_k=3)
     assert {n for _, n in fits} == {200} and got.select("node_id").distinct().count() == 200
+
+
+def test_every_component_count_is_tried(spark, fits, monkeypatch):
+    scores = {2: 5.0, 3: 6.0, 4: 7.0, 5: 1.0, 6: 1.0}  # rises twice, then falls
+    monkeypatch.setattr(tree, "bic", lambda likelihood, k, d, n: scores[k])
+    got = tree.soft_clusters(vectors(spark, 60), threshold=-1.0, max_k=6)
+    assert [k for k, _ in fits] == [2, 3, 4, 5, 6]
+    assert got.select("cluster").distinct().count() == 5
