@@ -1,17 +1,20 @@
 """A training corpus from `documents`: toxic documents go, one document of each near-duplicate group stays, documents
 with benchmark items go, personal data is masked, and what is left is encoded to token ids.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `docs`. Stages
-keep rows with null ids and null texts, except that rows with one id that near-duplicate removal sees twice become one.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `docs`, whatever
+further columns these are. Every stage gives no rows for an empty table, takes whole texts of any length, and keeps rows
+with null or empty texts (the last encodes them to no ids). Rows with null ids are kept by the stages that judge a text
+by itself (toxicity, personal data, encoding) and by the others, which know documents by their ids. Equal rows are
+judged alike; only near-duplicate removal makes them one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfind.llm import bpe, decontam, near, pii, toxicity
-from quillfind.llm.shared import session, stored
+from quillfind.llm.shared import join_hot, session, stored, without_hot
 
 #: Near duplicates share 80 of 100 five-word shingles.
 SHINGLE, NUM, DEN = 5, 80, 100
@@ -40,14 +43,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates; texts without words stay."""
-    groups = stored(near.link_components(docs, words=SHINGLE, num=NUM, den=DEN).select("doc_id", "component_id"), "near-groups")
-    kept = _without(docs, groups.filter("doc_id <> component_id").select("doc_id"), "near-gone")
-    twice = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    if twice:
-        order = Window.partitionBy("doc_id").orderBy("text")
-        kept = kept.withColumn("row of id", F.row_number().over(order)).filter("`row of id` = 1 or doc_id is null").drop("row of id")
-    return kept
+    """One document of each group of near duplicates, that with the smallest id; texts without words stay. Where an id
+    has several rows, equal ones become one, and each of its texts is a document of its own (known by a hash of both);
+    which of a group stays is then decided by these hashes. An empty table stays empty."""
+    session(docs)
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).filter("id is not null").groupBy("id").agg(F.count("*").alias("rows of id")).filter("`rows of id` > 1")
+    ids = stored(ids, "near-twice")
+    if not ids.limit(1).count():
+        groups = near.link_components(docs, words=SHINGLE, num=NUM, den=DEN)
+        return _without(docs, groups.filter("doc_id <> component_id").select("doc_id"), "near-gone")
+    named = docs.withColumn("id", F.col("doc_id").cast("long"))
+    once = without_hot(named, ids, "id", "rows of id").withColumn("near node", F.col("id")).drop("id")
+    twice = join_hot(named, ids, "id", "rows of id").withColumn("near node", F.xxhash64("id", "text")).drop("id").dropDuplicates(["near node"])
+    nodes = stored(once.unionByName(twice), "near-nodes")
+    groups = near.link_components(nodes, id_col="near node", words=SHINGLE, num=NUM, den=DEN)
+    gone = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("near node")), "near-gone")
+    return nodes.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge"), "near node", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,13 +13,15 @@ join. For the others:
  3. Sets that share a key are compared with two of them, the smallest and the largest id. These pairs are as many as
     the keys at most, are made distinct, are dropped if sizes or the Hamming distance of parity sketches (a
     lower bound of the difference) rule a link out, and are verified exactly on the whole sets.
+    A set that very many pairs have (the centre of a large group) is sent to several groups of its pairs.
  4. A key whose sets are one component already needs nothing more. The sets of other keys (with three or more sets)
     are gathered by key sharing into clusters, and their sketches dealt to pairs of blocks of bounded size. Pairs of
     different components that sizes and sketches don't rule out are verified exactly as above.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and are their own component; with
-fewer than n words, the whole word sequence is the one shingle; a row that is there twice is a copy of itself; ids are
-taken to name one text each; null ids are carried through and link with nothing; other columns are not looked at.
+fewer than n words, the whole word sequence is the one shingle; a row that is there twice is a copy of itself; an id
+with several texts links by each of them, and all its rows have one component; null ids are carried through and link
+with nothing; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -34,11 +36,13 @@ from pyspark.sql import functions as F
 
 from .bytewords import U, mix, ngrams, slices, split_words
 from .components import components
-from .shared import session, stored
+from .shared import join_hot, session, stored, without_hot
 
 WORDS, NUM, DEN = 4, 85, 100
 #: Sets in a block of step 4, and document ids that are broadcast at most (8 bytes each).
 BLOCK, BROADCAST_IDS = 8192, 1_000_000
+#: Pairs of one set that are joined with it in one group.
+GROUP = 4096
 LEVELS = 4
 _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 FEATURES = "doc_id long, n long, h1 long, h2 long, sketch array<long>"
@@ -245,12 +249,28 @@ def _compare_blocks(num: int, den: int):
     return compare
 
 
+def _with_sides(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """`pairs` (a, b) with the columns of `left` (one row per a) and of `right` (one row per b). Where an end has more
+    than GROUP pairs, they are dealt to groups before anything wide moves, and its row is sent to each group."""
+    keys = {"a": ["a"], "b": ["b"]}
+    tables = {"a": left, "b": right}
+    for end in keys:
+        counts = pairs.groupBy(end).agg(F.count("*").alias("pairs of it"))
+        size = counts.agg(F.max("pairs of it").alias("most"), F.sum("pairs of it").alias("n")).first()
+        if (size["most"] or 0) > GROUP:
+            groups, group = counts.withColumn("groups", F.ceil(F.col("pairs of it") / GROUP).cast("int")), f"group {end}"
+            pairs = join_hot(pairs, groups, end, "pairs of it", size["n"]).withColumn(group, F.pmod(F.xxhash64("a", "b"), F.col("groups")).cast("int")).drop("groups")
+            tables[end] = tables[end].join(groups.drop("pairs of it"), end).withColumn(group, F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+            keys[end] = [end, group]
+    return pairs.join(tables["a"], keys["a"]).join(tables["b"], keys["b"]).drop("group a", "group b")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets; stored."""
     pairs = stored(pairs, "near-pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     of = _sets_of(docs, ids, words).dropDuplicates(["doc_id"])
-    both = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = _with_sides(pairs, of.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), of.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")))
     return stored(both.filter(_linked(F.col("x"), F.col("y"), num, den)).select("a", "b"), "near-links")
 
 
@@ -260,11 +280,41 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     session(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = stored(features(docs, words), "near-features")
+    repeated = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), *[f(h).alias(f"{f.__name__} {h}") for h in ("h1", "h2") for f in (F.min, F.max)]).filter("n > 1")
+    repeated = stored(repeated.select("doc_id", "n", ((F.col("min h1") != F.col("max h1")) | (F.col("min h2") != F.col("max h2"))).alias("differ")), "near-repeated")
+    if not repeated.filter("differ").limit(1).count():
+        return _linked_rows(docs, rows, repeated.select("doc_id"), words, num, den)
+    return _repeated_ids(docs, repeated.filter("differ"), words, num, den)
+
+
+def _repeated_ids(docs: DataFrame, odd: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The same where some ids (`odd`, with the number of their rows) have different texts: each of their texts is a
+    node of its own, and the components that an id's texts lie in become one."""
+    nodes = stored(docs.join(F.broadcast(odd.select("doc_id")) if few(odd) else odd.select("doc_id").hint("merge"), "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "doc_id", "text").unionByName(join_hot(docs, odd.drop("differ"), "doc_id", "n").select(F.xxhash64("doc_id", "text").alias("node"), "doc_id", "text")), "near-nodes")
+    named = nodes.select(F.col("node").alias("doc_id"), "text")
+    rows = stored(features(named, words), "near-features")
+    twice = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    linked = stored(_linked_rows(named, rows, stored(twice, "near-repeated"), words, num, den).select(F.col("doc_id").alias("node"), "n_shingles", "component_id"), "near-linked")
+    of_node = linked.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("component_id").alias("component"))
+    # (row's id, its component): one row per input row, by a node that many rows may share only if they are equal.
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("n"))
+    known = stored(join_hot(nodes.filter("node is not null").select("node", "doc_id"), of_node.join(sizes, "node"), "node", "n"), "near-known")
+    together = known.groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("z")).filter("a <> z").select("doc_id", "a")
+    edges = join_hot(known.select("doc_id", "component"), together.join(odd, "doc_id"), "doc_id", "n").select("a", F.col("component").alias("b")).distinct()
+    joined = components(stored(edges, "near-edges"))
+    final = known.groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(joined.withColumnRenamed("node", "component"), "component", "left").withColumn("label", F.coalesce("label", "component"))
+    least = final.groupBy("label").agg(F.min("least").alias("component_id"))
+    out = join_hot(known.select("doc_id", "n_shingles", "component"), final.select("component", "label", "n").join(least, "label").drop("label"), "component", "n").select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(linked.filter("node is null").select(F.col("node").alias("doc_id"), "n_shingles", "component_id"))
+
+
+def _linked_rows(docs: DataFrame, rows: DataFrame, repeated: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """link_components where an id has one text. rows: the documents' features; repeated: ids of more than one row."""
     full = rows.filter("n > 0 and doc_id is not null")
     # Equal sets become one, under their smallest id. Only copies are joined back; groups are pre-aggregated.
-    copies = stored(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("h1", "h2", "rep"), "near-copies")
-    single = full.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n = 1").select("doc_id")
-    gone = full.join(copies, ["h1", "h2"]).filter("doc_id <> rep").select("doc_id").join(single, "doc_id", "left_semi")
+    copies = stored(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").withColumn("set", F.concat_ws(":", "h1", "h2")).select("set", "rep", "copies"), "near-copies")
+    slim = full.select("doc_id", F.concat_ws(":", "h1", "h2").alias("set"))
+    gone = join_hot(slim, copies, "set", "copies").filter("doc_id <> rep").select("doc_id").join(F.broadcast(repeated) if few(repeated) else repeated.hint("merge"), "doc_id", "left_anti")
     gone = stored(gone, "near-gone")
     own = docs.filter("doc_id is not null").join(F.broadcast(gone) if few(gone) else gone.hint("merge"), "doc_id", "left_anti")
     # One shuffle; a key that very many sets share is buffered in a spilling array, not collected.
@@ -276,8 +326,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = met.select("rep", F.explode(F.array_distinct(F.array("first", "last"))).alias("center")).filter("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
     # Rows that are there twice have one sketch.
     light = full.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    for end in ("a", "b"):
-        star = star.join(light.select(F.col("doc_id").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}")), end)
+    side = lambda end: light.select(F.col("doc_id").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}"))
+    star = _with_sides(stored(star, "near-stars"), side("a"), side("b"))
     half = lambda v: F.zip_with(F.slice(v, F.lit(1), (F.size(v) / 2).cast("int")), F.slice(v, (F.size(v) / 2).cast("int") + 1, (F.size(v) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
     star = star.withColumn("sa", F.when(F.size("sa") > F.size("sb"), half(F.col("sa"))).otherwise(F.col("sa"))).withColumn("sb", F.when(F.size("sb") > F.size("sa"), half(F.col("sb"))).otherwise(F.col("sb")))
     # Sizes that may link differ by less than two, so one fold makes the sketches equally wide; others are ruled out.
@@ -294,7 +344,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if rest.limit(1).count():
         clusters = components(rest.select(F.col("rep").alias("a"), F.col("first").alias("b")))
         members = rest.select("rep", "label").distinct().join(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "rep")
-        sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sqrt(F.count("*") * 16 / BLOCK))).cast("int").alias("blocks"))
         dealt = members.join(sizes, "cluster").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("cluster", "rep", "label", F.least("mine", "other").alias("block_i"), F.greatest("mine", "other").alias("block_j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
@@ -303,6 +353,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(_verified(more, docs, words, num, den))
         labels = components(links)
 
-    out = rows.select("doc_id", "n", "h1", "h2").join(copies, ["h1", "h2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+    # Copies by their set (a set that very many have is broadcast), all others by their id.
+    names = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("label", "rep").alias("label"), "copies")
+    every = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.concat_ws(":", "h1", "h2")).alias("set"))
+    copied = join_hot(every, names, "set", "copies").select("doc_id", "n_shingles", F.col("label").alias("component_id"))
+    lone = without_hot(every, copies, "set", "copies").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    lone = lone.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return copied.unionByName(lone)

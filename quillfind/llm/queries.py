@@ -15,8 +15,8 @@ ORACLES = {
              d as (select page_id, octet_length(encode(html)) as payload_bytes, sha256(html) as payload_digest from p),
              f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by payload_digest)
         select d.page_id, cast(d.payload_bytes as bigint) as payload_bytes, d.payload_digest,
-               case when f.first is not null and f.first <> d.page_id then 'revisit' else 'response' end as record_type,
-               case when f.first <> d.page_id then f.first end as refers_to
+               case when f.first is not null and d.page_id is distinct from f.first then 'revisit' else 'response' end as record_type,
+               case when d.page_id is distinct from f.first then f.first end as refers_to
         from d left join f on d.payload_digest = f.payload_digest and d.payload_bytes >= 100
     """,
 }

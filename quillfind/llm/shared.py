@@ -8,9 +8,12 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow batches are cut at either bound, so a batch of very long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
+#: Keys that a join by broadcast takes at most.
+HOT_KEYS = 50_000
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -23,9 +26,12 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The checkpoint folder of the session. Where the setting is absent (tests), one is made and set."""
+    """The checkpoint folder of the session. Where the setting is absent, a local session (tests) gets one of its own;
+    on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillfind-")
         spark.sparkContext.setCheckpointDir(root)
     elif not spark.sparkContext.getCheckpointDir():
@@ -51,6 +57,25 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(uri)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, total: int | None = None) -> DataFrame:
+    """Inner join where `right` has one row per key and says in `count` how many rows of `left` have it. Keys with more
+    than a HOT_KEYS-th of all rows, so fewer than HOT_KEYS, are broadcast: their rows stay where they are. The others'
+    rows, none of which is many, are shuffled. `left` is read twice; `right` is stored unless `total`, the number of
+    rows that its counts sum up to, is given."""
+    if total is None:
+        right = stored(right, "join-keys")
+        total = right.agg(F.sum(count).alias("n")).first()["n"] or 0
+    hot = F.col(count) > max(total // HOT_KEYS, 1000)
+    return left.join(F.broadcast(right.filter(hot).drop(count)), key).unionByName(left.join(right.filter(~hot).drop(count).hint("merge"), key))
+
+
+def without_hot(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+    """The rows of `left` whose key is null or not in `right`; sides and hot keys as in join_hot."""
+    total = right.agg(F.sum(count).alias("n")).first()["n"] or 0
+    hot = F.col(count) > max(total // HOT_KEYS, 1000)
+    return left.join(F.broadcast(right.filter(hot).select(key)), key, "left_anti").join(right.filter(~hot).select(key).hint("merge"), key, "left_anti")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
