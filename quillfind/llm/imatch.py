@@ -10,12 +10,14 @@
  3. The likeness of two fingerprints is the share of equal hashes among the subsets that are not empty on both sides,
     counted from the smallest subsets up to each size; the best of these shares. It is 1 for equal term sets.
 
-Every document's neighbour (for the edited texts) is found without a global sort: ids are cut into blocks of equal
-width, a window works within a block, and one row per block carries the last text on to the next block.
+Every document's neighbour (for the edited texts) is found without a global sort: ids are cut at quantiles into at
+most 2 * CELLS + 2 cells, an id that very many rows have into a cell of its own, and cells into blocks of equal width
+and BLOCK rows on average. A window works within a block, and one row per block carries the last text on to the next
+block of its cell, one number per cell to the next cell. An id far from all others changes the blocks of its own cell only.
 
 Defined results: null texts are empty; texts without terms are alike with each other and with nothing else; rows with
-equal ids are ordered by text; a single row is its own neighbour; rows with null ids follow the smallest id; other
-columns are not looked at.
+equal ids are ordered by a hash of the text, then by the text; a single row is its own neighbour; rows with null ids
+follow the smallest id; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ from .shared import session, stored
 
 LOW, HIGH = 0.002, 0.25
 SUBSETS, LEVELS, BLOCK, BROADCAST_TERMS = 12, 4, 512, 1_000_000
+#: Quantiles of the ids at which they are cut, and the accuracy of these.
+CELLS, ACCURACY = 2048, 20_000
+#: What rows are ordered by.
+ORDER = ["doc_id", "text hash", "text"]
 
 
 def terms(text: Column) -> Column:
@@ -83,23 +89,56 @@ def likeness(whole_a: Column, a: Column, whole_b: Column, b: Column) -> Column:
     return F.when(whole_a == whole_b, 1.0).otherwise(F.greatest(*shares))
 
 
+def _cell(cuts: list[int]) -> Column:
+    """How many cuts are not above the id, by halving; -1 for null ids."""
+    if not cuts:
+        at = F.lit(0)
+    else:
+        table, steps = F.array(*map(F.lit, cuts)), [1 << k for k in reversed(range(len(cuts).bit_length()))]
+        fits = lambda at, step: (at + step <= len(cuts)) & (F.get(table, at + step - 1) <= F.col("doc_id"))
+        at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
+    return F.when(F.col("doc_id").isNull(), -1).otherwise(at)
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
-    """With the column `block`: ids cut to equal widths, so that a block has BLOCK rows on average."""
-    r = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("doc_id").alias("n")).first()
-    low, width = r["a"] or 0, max(1, ((r["b"] or 0) - (r["a"] or 0) + 1) * BLOCK // max(1, r["n"]))
-    block = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long")
+    """With the columns `cell` and `block`: blocks are numbered in the order of ids and have BLOCK rows on average."""
+    cells = max(1, min(CELLS, docs.count() // BLOCK))
+    shares = [k / cells for k in range(1, cells)]
+    found = docs.agg(F.percentile_approx("doc_id", shares, ACCURACY).alias("cuts")).first()["cuts"] if shares else None
+    # What several quantiles name is an id of very many rows: it becomes a cell.
+    found = found or []
+    cuts = sorted({*found, *(c + 1 for c, d in zip(found, found[1:]) if c == d and c < (1 << 63) - 1)})
+    docs = docs.withColumn("cell", _cell(cuts))
+    rows = docs.groupBy("cell").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).orderBy("cell").collect()
+    first, table = 0, []
+    for r in rows:
+        parts = -(-r["n"] // BLOCK)
+        table.append((r["cell"], first, parts, r["low"], r["high"]))
+        first += parts
+    at = {r[0]: k for k, r in enumerate(table)}
+    place = F.get(F.array(*[F.lit(at.get(c, 0)) for c in range(-1, len(cuts) + 1)]), F.col("cell") + 1)
+    of = lambda k, empty=0: F.get(F.array(*[F.lit(empty if r[k] is None else r[k]).cast("long") for r in table] or [F.lit(0).cast("long")]), place)
+    low, high = of(3).cast("double"), of(4).cast("double")
+    by_id = (F.col("doc_id").cast("double") - low) / (high - low + 1)
+    by_text = F.col("text hash").cast("double") / F.lit(2.0**64) + 0.5
+    share = F.when(F.col("doc_id").isNull() | (of(3) == of(4)), by_text).otherwise(by_id)
+    block = of(1) + F.least(F.greatest(F.floor(share * of(2)), F.lit(0)), of(2) - 1)
     # Never null: else a filter on one of its uses would keep Spark from sharing one shuffle among all of them.
-    return docs.withColumn("block", F.coalesce(block, F.lit(-1).cast("long")))
+    return docs.withColumn("block", F.coalesce(block.cast("long"), F.lit(-1).cast("long")))
 
 
 def _neighbours(blocked: DataFrame, value: str, order: list[str], out: str) -> DataFrame:
     """With the column `out`: `value` of the next row in descending order (the greatest smaller one; for the smallest,
     the greatest of all). `blocked` must be partitioned by `block` already for this to shuffle nothing large."""
-    last = blocked.groupBy("block").agg(F.max_by(F.struct(value), F.struct(*order)).alias("v"))
-    blocks = blocked.select("block").distinct()
-    w = Window.orderBy("block")
-    order_of_blocks = blocks.select("block", F.lag("block").over(w).alias("p")).crossJoin(F.broadcast(blocks.agg(F.max("block").alias("m")))).select(F.coalesce("p", "m").alias("block"), F.col("block").alias("to"))
-    edge = last.join(order_of_blocks, "block").select(F.col("to").alias("block"), F.col("v").alias("edge"))
+    last = blocked.groupBy("cell", "block").agg(F.max_by(F.struct(value), F.struct(*order)).alias("v"))
+    blocks = blocked.select("cell", "block").distinct()
+    # At most 2 * CELLS + 2 rows, however many documents there are.
+    cells = blocks.groupBy("cell").agg(F.max("block").alias("last"))
+    every = F.max("last").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    cells = cells.select("cell", F.coalesce(F.lag("last").over(Window.orderBy("cell")), every).alias("before cell"))
+    before = F.lag("block").over(Window.partitionBy("cell").orderBy("block"))
+    order_of_blocks = blocks.withColumn("p", before).join(F.broadcast(cells), "cell").select(F.coalesce("p", "before cell").alias("block"), F.col("block").alias("to"))
+    edge = last.drop("cell").join(order_of_blocks, "block").select(F.col("to").alias("block"), F.col("v").alias("edge"))
     inside = blocked.withColumn("before", F.lag(F.struct(value)).over(Window.partitionBy("block").orderBy(*order)))
     joined = inside.join(edge.hint("merge"), "block", "left")
     return joined.withColumn(out, F.coalesce("before", "edge")[value]).drop("before", "edge")
@@ -112,24 +151,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     words = stored(lexicon(docs, low=low, high=high), "lexicon")
     few = words.count() <= BROADCAST_TERMS
-    rows = _neighbours(_blocks(docs).repartition("block"), "text", ["doc_id", "text"], "next_text")
-    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("block").orderBy("doc_id", "text"))).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = _neighbours(_blocks(docs.withColumn("text hash", F.xxhash64("text"))).repartition("block"), "text", ORDER, "next_text")
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("block").orderBy(*ORDER))).withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.coalesce(F.substring("next_text", F.lit(1), third), F.lit("")))
-    rows = rows.select("block", "rn", "doc_id", "n_chars", "text", edited.alias("edited"))
-    both = rows.select("block", "rn", "doc_id", "n_chars", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("s")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("s")))).alias("x"))
-    both = both.select("block", "rn", "x.kind", "doc_id", "n_chars", terms(F.col("x.s")).alias("terms"), F.when(F.col("x.kind") == 1, F.sha2("x.s", 256)).alias("sha"))
+    rows = rows.select("cell", "block", "rn", "doc_id", "n_chars", "text", edited.alias("edited"))
+    both = rows.select("block", "rn", F.struct("cell", "doc_id").alias("own"), "n_chars", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("s")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("s")))).alias("x"))
+    both = both.select("block", "rn", "x.kind", "own.cell", "own.doc_id", "n_chars", terms(F.col("x.s")).alias("terms"), F.when(F.col("x.kind") == 1, F.sha2("x.s", 256)).alias("sha"))
     both = both.withColumn("all_terms", F.xxhash64(F.array_sort("terms")))
     # One row per term; what belongs to the text stands in the row of the empty term only.
     mark = F.xxhash64(F.lit(""))
-    each = both.select("block", "rn", "kind", F.struct("doc_id", "n_chars", "sha", "all_terms").alias("row"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("t"))
+    each = both.select("block", "rn", "kind", F.struct("cell", "doc_id", "n_chars", "sha", "all_terms").alias("row"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("t"))
     each = each.select("block", "rn", "kind", F.xxhash64("t").alias("h"), F.when(F.col("t") == "", F.col("row")).alias("row"))
     hits = each.join(F.broadcast(words) if few else words, "h")
     grouped = hits.groupBy("block", "rn", "kind").agg(F.collect_list("h").alias("hs"), F.first("row", ignorenulls=True).alias("row"))
     own = F.array_sort(F.array_remove("hs", mark))
     made = grouped.select("block", "rn", "kind", "row.*", own.alias("band")).withColumn("whole", F.when(F.size("band") > 0, F.xxhash64("band")).otherwise(F.col("all_terms"))).withColumn("subsets", subset_hashes(F.col("band")))
     pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{c}{kind}")
-    wide = made.groupBy("block", "rn").agg(F.max("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"), *[pick(k, c) for k in (0, 1) for c in ("whole", "subsets")])
+    wide = made.groupBy("block", "rn").agg(F.max("cell").alias("cell"), F.max("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"), *[pick(k, c) for k in (0, 1) for c in ("whole", "subsets")])
     prints = stored(wide, "fingerprints").withColumn("own", F.struct("whole0", "subsets0"))
     out = _neighbours(prints, "own", ["doc_id", "rn"], "next_own")
     return out.select("doc_id", "n_chars", "edited_sha256", F.col("whole0").alias("whole"), F.col("subsets0").alias("subsets"), F.col("whole1").alias("edited_whole"), F.col("subsets1").alias("edited_subsets"), F.col("next_own.whole0").alias("next_whole"), F.col("next_own.subsets0").alias("next_subsets"))
