@@ -2,13 +2,14 @@
 
 A logistic regression over the presence of selected words and word beginnings. Features are found by a Spark count
 over the labelled rows: those that stand in toxic texts far more often than in others (by the log-likelihood
-ratio). Identity terms are features as well. For every labelled sentence with an identity term, copies with the term
-swapped (the word and its beginnings) for others of its kind are made; training penalises the squared difference of
-their scores, so a mention of a group by itself does not change the verdict. Where labelled sentences name no group, terms are placed into a bounded
-number of them, so that the penalty is never empty.
+ratio). Identity terms are features as well. For every labelled text with an identity term, the term is swapped in the
+text for others of its kind: the text without the term's words gives the features that stay, and to these come all
+features of the one term or of the other. Training penalises the squared difference of the two whole texts' scores, so
+a mention of a group by itself does not change the verdict. Terms are also placed into a bounded number of texts that
+may name no group, so that the penalty is never empty.
 
 Learning uses at most SAMPLE labelled rows (the smallest hashes of their ids), a bound that does not grow with the
-data; scoring covers every row and whole texts, and shuffles nothing.
+data, and SWAPS swaps of every identity term in each; scoring covers every row and whole texts, and shuffles nothing.
 
 Defined results: null, empty and wordless texts get the score of a text without features; with no usable labels the
 score is 0 for all; rows whose label is null are not learned from; a document that is labelled twice counts twice;
@@ -30,7 +31,7 @@ from .decontam import lowered
 from .shared import session
 
 SAMPLE, FEATURES, MIN_TOXIC, MIN_Z = 30_000, 1000, 4, 5.5
-PENALTY, RIDGE, STEPS, INJECTED = 1.0, 0.02, 400, 200
+PENALTY, RIDGE, STEPS, INJECTED, SWAPS = 4.0, 0.02, 400, 200, 4
 #: Bytes of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
@@ -62,22 +63,28 @@ class Model:
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text index, feature hash) of all words and word beginnings, repeats included."""
+    return _features(data, offsets)[:2]
+
+
+def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, feature hash, hash of the word that has it)."""
     data = lowered(data)
     words = split_words(data, offsets, ALNUM)
     if not len(words.hash):
-        return np.zeros(0, np.int64), np.zeros(0, U)
+        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
     low, (powers, inverse) = LOWER[data], _powers(1 << max(16, int(len(data) - 1).bit_length()))
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, dtype=U)
         np.cumsum(CODES[low] * powers[: len(data)], out=total[1:])
-        text, texts, hashes = words.text_of, [words.text_of], [words.hash]
+        text, texts, hashes, of = words.text_of, [words.text_of], [words.hash], [words.hash]
         length = words.end - words.start
         for k in PREFIXES:
             use = np.flatnonzero(length > k)
             s = words.start[use]
             hashes.append(mix((total[s + k] - total[s]) * inverse[s] + U(k)))
             texts.append(text[use])
-    return np.concatenate(texts), np.concatenate(hashes)
+            of.append(words.hash[use])
+    return np.concatenate(texts), np.concatenate(hashes), np.concatenate(of)
 
 
 def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,66 +150,87 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     z = F.expr(f"sqrt(greatest(2 * ({' + '.join(cells)}), 0)) * sign(toxic / {n1} - clean / {n0})")
     best = _count(rows).filter(F.col("toxic") >= MIN_TOXIC).withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
     swaps = identity_terms()
-    hashes = np.unique(np.array([r["feature"] for r in best] + np.array(list(swaps), dtype=U).astype(np.int64).tolist(), dtype=np.int64).astype(U))
+    terms = np.array(sorted(swaps), dtype=U)
+    hashes = np.unique(np.concatenate([np.array([r["feature"] for r in best], dtype=np.int64).astype(U), terms]))
+
+    def selected(text: np.ndarray, h: np.ndarray, n: int) -> list[list[int]]:
+        """Each text's distinct selected features, by number."""
+        k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        hit = hashes[k] == h
+        found: list[list[int]] = [[] for _ in range(n)]
+        for pair in np.unique(text[hit] * len(hashes) + k[hit]).tolist():
+            found[pair // len(hashes)].append(pair % len(hashes))
+        return found
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per text with its features, and one per text and identity term in it: what stays without the term."""
         for batch in batches:
             for at, data, offsets in slices(batch.column(1)):
-                text, h = _distinct(data, offsets)
-                k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                hit = hashes[k] == h
-                found: list[list[int]] = [[] for _ in range(len(offsets) - 1)]
-                for t, f in zip(text[hit].tolist(), k[hit].tolist()):
-                    found[t].append(f)
-                yield pa.record_batch([batch.column(2).slice(at, len(found)).cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
+                text, h, word = _features(data, offsets)
+                n = len(offsets) - 1
+                label = batch.column(2).slice(at, n).cast(pa.int32()).to_pylist()
+                out = [(y, f, -1) for y, f in zip(label, selected(text, h, n))]
+                named = np.isin(word, terms)
+                for pair in np.unique(text[named] * len(terms) + np.searchsorted(terms, word[named])).tolist():
+                    t, k = divmod(pair, len(terms))
+                    stay = (text == t) & (word != terms[k])
+                    out.append((label[t], selected(text[stay] * 0, h[stay], 1)[0], k))
+                toxic, found, term = zip(*out)
+                yield pa.record_batch([pa.array(toxic, pa.int32()), pa.array(found, pa.list_(pa.int32())), pa.array(term, pa.int32())], ["toxic", "found", "term"])
 
     # Equal feature sets with equal labels are one weighted row: mostly the texts without any feature.
-    grouped = rows.select("doc_id", "text", "toxic").mapInArrow(present, "toxic int, found array<int>").groupBy("toxic", "found").agg(F.count("*").alias("n")).orderBy("toxic", "found").collect()
-    return _fit(hashes, [(list(r["found"]), r["toxic"], r["n"]) for r in grouped], swaps)
+    grouped = rows.select("doc_id", "text", "toxic").mapInArrow(present, "toxic int, found array<int>, term int").groupBy("toxic", "found", "term").agg(F.count("*").alias("n")).orderBy("toxic", "term", "found").collect()
+    texts_ = [(list(r["found"]), r["toxic"], r["n"]) for r in grouped if r["term"] < 0]
+    named = [(list(r["found"]), int(terms[r["term"]]), r["n"]) for r in grouped if r["term"] >= 0]
+    return _fit(hashes, texts_, named, swaps)
+
+
+class _Sets:
+    """Feature sets whose logits are taken together: one entry per set and feature."""
+
+    def __init__(self, sets: list[set[int]]):
+        self.n = len(sets)
+        self.row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        self.feature = np.array([f for s in sets for f in sorted(s)], dtype=np.int64)
+
+    def logits(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.feature], minlength=self.n)
+
+    def back(self, g: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(self.feature, weights=g[self.row], minlength=size)
 
 
-def _fit(hashes: np.ndarray, rows: list[tuple[list[int], int, int]], swaps: dict[int, list[int]]) -> Model:
+def _fit(hashes: np.ndarray, rows: list[tuple[list[int], int, int]], named: list[tuple[list[int], int, int]], swaps: dict[int, list[int]]) -> Model:
+    """rows: (features, label, number of texts); named: (features without the term, term, number of texts)."""
     index = {int(h): k for k, h in enumerate(hashes)}
-    terms = {index[h]: [index[o] for o in others] for h, others in swaps.items()}
-    x = np.zeros((len(rows), len(hashes)), dtype=np.float32)
-    for i, (found, _, _) in enumerate(rows):
-        x[i, found] = 1
+    own = {h: {index[f] for f in every if f in index} for h, every in term_features().items()}
     y, n = np.array([r[1] for r in rows], dtype=np.float64), np.array([r[2] for r in rows], dtype=np.float64)
-    # Counterfactual pairs: a labelled row with a term, and the row with another term in its place.
-    pairs = []
-    for i, (found, _, _) in enumerate(rows):
-        for f in found:
-            pairs += [(i, f, other) for other in terms.get(f, [])]
-    every = list(terms)
+    x = _Sets([set(r[0]) for r in rows])
+    # Counterfactual pairs: a text with a term, and the text with another term in its place. Pairs from texts that have
+    # a term, and from texts that one is placed into, have equal weight together.
+    pairs, every = [], list(swaps)
+    for i, (stay, term, times) in enumerate(named):
+        others = swaps[term]
+        pairs += [({*stay, *own[term]}, {*stay, *own[others[(i + j) % len(others)]]}, times) for j in range(min(SWAPS, len(others)))]
+    found = len(pairs)
     for k in range(min(INJECTED, len(rows) * 4)):
-        f = every[k % len(every)]
-        pairs.append((k * 7919 % len(rows), f, terms[f][k % len(terms[f])]))
-    pairs = pairs[: 20 * SAMPLE]
-    base = np.array([p[0] for p in pairs])
-    # The selected features of each term: all of them are swapped.
-    own = {index[h]: [index[f] for f in every if f in index] for h, every in term_features().items() if h in index}
-    number = {f: k for k, f in enumerate(own)}
-    has = np.zeros((len(own), len(hashes)))
-    for f, k in number.items():
-        has[k, own[f]] = 1
-    one, two = np.array([number[p[1]] for p in pairs]), np.array([number[p[2]] for p in pairs])
-    gone = [(j, f) for j, (i, a, b) in enumerate(pairs) for f in {*own[a], *own[b]} if x[i, f]]
-    gone_pair, gone_feature = (np.array(c, dtype=np.int64) for c in zip(*gone)) if gone else (np.zeros(0, np.int64),) * 2
-    w, b = np.zeros(len(hashes)), float(np.log(n[y == 1].sum() / n[y == 0].sum()))
-    m, v, total = np.zeros(len(hashes) + 1), np.zeros(len(hashes) + 1), n.sum()
+        stay, term = rows[k * 7919 % len(rows)][0], every[k % len(every)]
+        pairs.append(({*stay, *own[term]}, {*stay, *own[swaps[term][k % len(swaps[term])]]}, 1))
+    one, two, weight = _Sets([p[0] for p in pairs]), _Sets([p[1] for p in pairs]), np.array([p[2] for p in pairs], dtype=np.float64)
+    for part in (weight[:found], weight[found:]):
+        part /= max(part.sum(), 1) * (2 if found else 1)
+    size, total = len(hashes), n.sum()
+    w, b = np.zeros(size), float(np.log(n[y == 1].sum() / n[y == 0].sum()))
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
     sigmoid = lambda a: 1 / (1 + np.exp(-np.clip(a, -40, 40)))
     gap = 0.0
     for step in range(1, STEPS + 1):
-        score = x @ w + b
-        g = n * (sigmoid(score) - y) / total
-        grad = np.append(x.T @ g + RIDGE * w / len(hashes), g.sum())
-        # without either term, the row's logit; with each of the two, what the classifier says
-        rest, term = score[base] - np.bincount(gone_pair, weights=w[gone_feature], minlength=len(pairs)), has @ w
-        pa_, pb = sigmoid(rest + term[one]), sigmoid(rest + term[two])
-        diff = pa_ - pb
-        pull = np.bincount(one, weights=diff * pa_ * (1 - pa_), minlength=len(own)) - np.bincount(two, weights=diff * pb * (1 - pb), minlength=len(own))
-        grad[:-1] += 2 * PENALTY * (pull @ has) / len(pairs)
-        gap = float(np.abs(diff).mean())
+        g = n * (sigmoid(x.logits(w) + b) - y) / total
+        grad = np.append(x.back(g, size) + RIDGE * w / size, g.sum())
+        a, c = sigmoid(one.logits(w) + b), sigmoid(two.logits(w) + b)
+        diff = (a - c) * weight
+        grad[:-1] += 2 * PENALTY * (one.back(diff * a * (1 - a), size) - two.back(diff * c * (1 - c), size))
+        gap = float(np.abs(diff).sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
