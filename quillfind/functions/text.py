@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,6 +45,12 @@ def full_text(title: Column, text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(joined, f"^{W}", ""), f"{W}$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it. (An expression that stands inside a
+    lambda would be computed again for every element.)"""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     """Pieces between white space."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), W), lambda w: w != "")
@@ -53,9 +61,12 @@ def chunk_words(w: Column, size: int, overlap: int) -> Column:
     length, so with overlap the last may lie within its predecessor. No words: no chunks."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("chunk size must be positive and overlap smaller than it")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size - overlap))
-    made = F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " "))
-    return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<string>"))
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size - overlap))
+        made = F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+        return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<string>"))
+
+    return let(w, cut)
 
 
 def stem(t: Column) -> Column:
@@ -85,8 +96,7 @@ def context_prefix(title: Column, text: Column, limit: int = 100) -> Column:
     first = F.when(t.contains(". "), F.split(t, r"\. ")[0]).otherwise(F.substring(t, 1, limit))
     has = F.coalesce(title, F.lit("")) != ""
     made = F.when(has, F.concat(F.lit("Document title: "), title, F.lit("."))).otherwise(F.concat(F.lit("Document begins: "), first, F.lit(".")))
-    w = words(made)
-    return F.when(F.size(w) > limit, F.concat(F.array_join(F.slice(w, 1, limit), " "), F.lit("..."))).otherwise(made)
+    return let(made, lambda m: let(words(m), lambda w: F.when(F.size(w) > limit, F.concat(F.array_join(F.slice(w, 1, limit), " "), F.lit("..."))).otherwise(m)))
 
 
 def strip(text: Column) -> Column:
@@ -104,7 +114,7 @@ def sentences(text: Column, line_ends: bool = False) -> Column:
 def _best_sentences(text: Column, s: Column, scores: Column, k: int) -> Column:
     """The k sentences of highest score (ties: the earlier), in their order; all if there are no more than k; the
     text's beginning if there is none."""
-    zipped = F.transform(F.arrays_zip(s.alias("s"), scores.alias("score")), lambda x, i: F.struct((-x["score"]).alias("d"), i.alias("i"), x["s"].alias("s")))
+    zipped = F.zip_with(s, F.transform(scores, lambda x, i: F.struct((-x).alias("d"), i.alias("i"))), lambda x, y: F.struct(y["d"].alias("d"), y["i"].alias("i"), x.alias("s")))
     best = F.array_sort(F.transform(F.slice(F.array_sort(zipped), 1, k), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
     many = F.array_join(F.transform(best, lambda x: x["s"]), ". ")
     few = F.array_join(s, ". ")
@@ -114,9 +124,8 @@ def _best_sentences(text: Column, s: Column, scores: Column, k: int) -> Column:
 
 def summary_by_position(text: Column, k: int = 3) -> Column:
     """Extractive summary that favours early and long sentences."""
-    s = sentences(text, line_ends=True)
-    scores = F.transform(s, lambda x, i: F.round(0.6 / (1 + i * 0.3) + 0.4 * F.least(F.size(words(x)) / 20.0, F.lit(1.0)), 9))
-    return _best_sentences(text, s, scores, k)
+    score = lambda x, i: F.round(0.6 / (1 + i * 0.3) + 0.4 * F.least(F.size(words(x)) / 20.0, F.lit(1.0)), 9)
+    return let(sentences(text, line_ends=True), lambda s: _best_sentences(text, s, F.transform(s, score), k))
 
 
 def summary_by_frequency(text: Column, k: int = 5) -> Column:
@@ -151,18 +160,34 @@ def clean_query(q: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(strip(q), r"\?+$", ""), r"\.+$", "")
 
 
+# The three templates of a made-up answer. {q} is the cleaned query, {low} the same in lower case.
+TEMPLATES = (
+    "Based on research and analysis, {q}. "
+    "This topic involves several key aspects that are well-documented in the literature. "
+    "Studies have shown that {low} is an important area of investigation. "
+    "The evidence suggests multiple factors contribute to this phenomenon.",
+    "The answer to {q} involves understanding the underlying mechanisms. "
+    "Research has demonstrated that this is a complex topic with multiple contributing factors. "
+    "Key findings include the relationship between various variables and outcomes. "
+    "This area continues to be actively studied.",
+    "{q}. "
+    "This is a well-studied topic in the scientific literature. "
+    "Multiple studies have investigated the various aspects and contributing factors. "
+    "The consensus view, based on available evidence, provides important insights.",
+)
+
+
 def hypothetical_document(q: Column) -> Column:
     """A made-up answer text for a query; which of three templates is decided by the query's md5."""
-    c = clean_query(q)
     # 16 is 1 modulo 3: the number's remainder is that of its hexadecimal digits' sum.
     digits = F.transform(F.split(F.md5(q), ""), lambda d: F.when(d == "", 0).otherwise(F.conv(d, 16, 10).cast("int")))
-    which = F.pmod(F.aggregate(digits, F.lit(0), lambda a, d: a + d), F.lit(3))
-    templates = [
-        F.concat(F.lit("Evidence gathered so far suggests that "), c, F.lit(". Reports describe what drives "), F.lower(c), F.lit(" and how it was measured.")),
-        F.concat(F.lit("To answer "), c, F.lit(", one looks at causes, effects and the data behind them. Results agree on the main points.")),
-        F.concat(c, F.lit(". Surveys of the field treat this at length and list its parts, conditions and results.")),
-    ]
-    return F.when(which == 0, templates[0]).when(which == 1, templates[1]).otherwise(templates[2])
+    which = F.pmod(F.aggregate(digits, F.lit(0), lambda a, d: a + d), F.lit(len(TEMPLATES)))
+
+    def filled(c: Column, template: str) -> Column:
+        pieces = re.split(r"(\{q\}|\{low\})", template)
+        return F.concat(*[c if p == "{q}" else F.lower(c) if p == "{low}" else F.lit(p) for p in pieces if p])
+
+    return let(clean_query(q), lambda c: F.element_at(F.array(*[filled(c, t) for t in TEMPLATES]), which + 1))
 
 
 def decompose_query(q: Column) -> Column:
@@ -197,14 +222,11 @@ def strip_question(q: Column) -> Column:
 
 def broaden(q: Column) -> Column:
     """The first half of the words, if there are more than five."""
-    w = words(q)
-    return F.when(F.size(w) > 5, F.array_join(F.slice(w, F.lit(1), F.floor(F.size(w) / 2).cast("int")), " ")).otherwise(q)
+    return let(words(q), lambda w: F.when(F.size(w) > 5, F.array_join(F.slice(w, F.lit(1), F.floor(F.size(w) / 2).cast("int")), " ")).otherwise(q))
 
 
 def keyword_coverage(q: Column, context: Column) -> Column:
     """Share of the query's keywords that occur as substrings of the context; null without keywords."""
     keys = F.filter(F.array_distinct(words(F.lower(q))), lambda w: ~w.isin(*COVERAGE_STOP_WORDS))
     low = F.lower(F.coalesce(context, F.lit("")))
-    # The context is bound once, so that it is lower-cased once.
-    hits = F.transform(F.array(low), lambda c: F.size(F.filter(keys, lambda w: F.contains(c, w))))[0]
-    return F.when(F.size(keys) > 0, hits / F.size(keys))
+    return let(keys, lambda ks: F.when(F.size(ks) > 0, let(low, lambda c: F.size(F.filter(ks, lambda w: F.contains(c, w)))) / F.size(ks)))

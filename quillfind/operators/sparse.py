@@ -10,6 +10,7 @@ from .fusion import max_pool, ranked
 
 
 def activation(logit: Column) -> Column:
+    """A vocabulary logit's weight: what a neural `encoder` of this module applies to its outputs."""
     return F.log1p(F.greatest(logit, F.lit(0.0)))
 
 
@@ -20,20 +21,23 @@ def log_tf_encoder(df: DataFrame, keys: list[str], text: str = "text") -> DataFr
 
 def sparse_scores(postings: DataFrame, n: int, queries: DataFrame, reweight: bool = True) -> DataFrame:
     """(query_id, doc_id, chunk_idx, score): dot product over shared terms, by both norms. With reweight, query weights
-    are multiplied by ln((N + 1) / (df + 1)) + 1, and the query's norm is taken afterwards."""
+    are multiplied by ln((N + 1) / (df + 1)) + 1, and the query's norm is taken afterwards. A chunk's norm is taken where
+    its postings lie and goes on with those few that a query has; these are kept, as idf and products need them."""
     key = ["doc_id", "chunk_idx"]
+    normed = postings.withColumn("cn", F.sqrt(F.sum(F.col("weight") ** 2).over(Window.partitionBy(*key))))
+    hit = normed.join(queries.select("term").distinct(), "term", "left_semi").persist()
     if reweight:
-        idf = postings.groupBy("term").agg((F.log((F.lit(n) + 1) / (F.count("*") + 1)) + 1).alias("idf"))
+        idf = hit.groupBy("term").agg((F.log((F.lit(n) + 1) / (F.count("*") + 1)) + 1).alias("idf"))
         queries = queries.join(idf, "term", "left").select("query_id", "term", (F.col("weight") * F.coalesce("idf", F.log(F.lit(n) + 1.0) + 1)).alias("weight"))
     norms = queries.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("qn"))
-    # The chunk's norm is carried by its postings: no second shuffle of the index.
-    hit = postings.withColumn("cn", F.sqrt(F.sum(F.col("weight") ** 2).over(Window.partitionBy(*key))))
-    hit = hit.join(queries.withColumnRenamed("weight", "qw"), "term")
-    dots = hit.groupBy("query_id", *key, "cn").agg(F.sum(F.col("weight") * F.col("qw")).alias("d"))
+    dots = hit.join(queries.withColumnRenamed("weight", "qw"), "term").groupBy("query_id", *key, "cn").agg(F.sum(F.col("weight") * F.col("qw")).alias("d"))
     return dots.join(norms, "query_id").select("query_id", *key, (F.col("d") / (F.greatest("cn", F.lit(1e-8)) * F.greatest("qn", F.lit(1e-8)))).alias("score"))
 
 
 def sparse(chunked: DataFrame, queries: DataFrame, k: int = 10, encoder=log_tf_encoder, reweight: bool = True) -> DataFrame:
+    """Top k documents per query by their best chunk. Chunks are shuffled once, whole and by document, before they
+    become postings: grouping terms and taking norms then need no shuffle of the far more numerous postings."""
+    chunked = chunked.select("doc_id", "chunk_idx", "text").repartition("doc_id").persist()
     post = encoder(chunked, ["doc_id", "chunk_idx"])
     return ranked(max_pool(sparse_scores(post, chunked.count(), encoder(queries, ["query_id"]), reweight)), k)
 

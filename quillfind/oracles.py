@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .functions.text import COMPARISONS, CONJUNCTIONS, COVERAGE_STOP_WORDS, STOP_WORDS, SUFFIXES, W
+from .functions.text import COMPARISONS, CONJUNCTIONS, COVERAGE_STOP_WORDS, STOP_WORDS, SUFFIXES, TEMPLATES, W
 
 
 def _list(words) -> str:
@@ -102,7 +102,8 @@ def sparse(k: int, name: str) -> str:
 def hypothetical(x: str) -> str:
     c = rf"regexp_replace(regexp_replace({strip(x)}, '\?+$', ''), '\.+$', '')"
     n = f"list_sum(list_transform(range(1, 33), lambda i: ('0x' || substr(md5({x}), i, 1))::bigint)) % 3"
-    return f"case {n} when 0 then 'Evidence gathered so far suggests that ' || {c} || '. Reports describe what drives ' || lower({c}) || ' and how it was measured.' when 1 then 'To answer ' || {c} || ', one looks at causes, effects and the data behind them. Results agree on the main points.' else {c} || '. Surveys of the field treat this at length and list its parts, conditions and results.' end"
+    filled = ["'" + t.replace("'", "''").replace("{q}", f"' || {c} || '").replace("{low}", f"' || lower({c}) || '") + "'" for t in TEMPLATES]
+    return f"case {n} when 0 then {filled[0]} when 1 then {filled[1]} else {filled[2]} end"
 
 
 def decomposed(x: str) -> str:

@@ -29,6 +29,16 @@ def corpus(df: DataFrame) -> DataFrame:
     return require(df, CORPUS, "the corpus").na.fill({"title": "", "text": ""})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few and large files dealt to all cores. A table with as many splits as cores is left as it is, so
+    nothing large is ever shuffled for this."""
+    plan = df._jdf.queryExecution().executedPlan()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in plan.toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def queries(df: DataFrame) -> DataFrame:
     """query_id, text; `_id` or `item_id` are read as query_id."""
     for c in ("_id", "item_id"):
