@@ -87,11 +87,15 @@ def test_hub_pairs_are_spread(spark, monkeypatch):
     assert dealt < 1.2 * near.GROUP
 
 
-@pytest.mark.parametrize("size", [2, 400])
-def test_components_of_a_path(spark, size):
+@pytest.mark.parametrize("size,task_edges", [(2, 1_000_000), (400, 1_000_000), (300, 40)])
+def test_components_of_a_path(spark, monkeypatch, size, task_edges):
+    """In one task, and by steps over several forests."""
+    monkeypatch.setattr(components, "TASK_EDGES", task_edges)
     r = random.Random(size)
     names = list(range(size))
     r.shuffle(names)
-    edges = [(names[k], names[k + 1]) for k in range(size - 1)] + [(10**6, 10**6 + 1)]
-    got = {x["node"]: x["label"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    edges = [(names[k], names[k + 1]) for k in range(size - 1)] + [(10**6, 10**6 + 1), (5, 5), (10**6 + 1, 10**6)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    got = {x["node"]: x["label"] for x in components.components(df).collect()}
     assert got == {**{n: 0 for n in names}, 10**6: 10**6, 10**6 + 1: 10**6}
+    assert components.components(df.limit(0)).count() == 0
