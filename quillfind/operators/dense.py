@@ -17,28 +17,29 @@ from .fusion import max_pool, ranked
 
 DIMENSIONS = 64
 #: Bytes of query vectors that are sent to the workers at once; more queries are scored in several passes.
-QUERY_BYTES = 64 << 20
+QUERY_BYTES = 16 << 20
+#: Entries of one score matrix, and rows of a task's pool of best documents before it is cut.
+SCORES, POOL = 4_000_000, 2_000_000
 
 Encoder = Callable[[DataFrame], DataFrame]
 
 
 def hash_encode(tokens: Column, d: int = DIMENSIONS) -> Column:
-    """A model-free encoder: every token adds +1 or -1 to one of d places, both decided by its md5; then length 1."""
+    """A model-free encoder: every token adds +1 or -1 to one of d places, both decided by its md5; then length 1. A
+    batch's distinct tokens are hashed once, and all its rows are summed in one pass."""
 
     @F.pandas_udf("array<double>")
     def encode(batch: pd.Series) -> pd.Series:
-        places: dict[str, tuple[int, float]] = {}
-        out = []
-        for words in batch:
-            v = np.zeros(d)
-            for w in words if words is not None else ():
-                if w not in places:
-                    h = hashlib.md5(w.encode()).hexdigest()
-                    places[w] = int(h[:8], 16) % d, 1.0 if int(h[8], 16) % 2 == 0 else -1.0
-                at, sign = places[w]
-                v[at] += sign
-            out.append(v / max(np.sqrt(v @ v), 1e-8))
-        return pd.Series(out)
+        sizes = np.array([0 if t is None else len(t) for t in batch], dtype=np.int64)
+        if not sizes.sum():
+            return pd.Series(list(np.zeros((len(batch), d))))
+        codes, words = pd.factorize(np.concatenate([t for t in batch if t is not None and len(t)]))
+        digests = [hashlib.md5(w.encode()).hexdigest() for w in words]
+        place = np.array([int(h[:8], 16) % d for h in digests])
+        sign = np.array([1.0 if int(h[8], 16) % 2 == 0 else -1.0 for h in digests])
+        row = np.repeat(np.arange(len(batch)), sizes)
+        m = np.bincount(row * d + place[codes], weights=sign[codes], minlength=len(batch) * d).reshape(-1, d)
+        return pd.Series(list(m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-8)))
 
     return encode(tokens)
 
@@ -48,46 +49,95 @@ def hash_encoder(df: DataFrame, text: str = "text", d: int = DIMENSIONS) -> Data
     return df.withColumn("emb", hash_encode(T.tokens(F.col(text)), d))
 
 
-def block_scores(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score): dot products of every query with every vector, the best per document. `vectors` has
-    doc_id and emb, `queries` query_id and emb. Each Arrow batch is one matrix product; it gives back k documents per
-    query at most (no document of the overall top k can be missing), so nothing quadratic is ever a row."""
-    width = queries.select(F.size("emb").alias("n")).limit(1).collect()
-    if not width:
-        return vectors.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double")
-    parts = max(1, -(-queries.count() * 8 * width[0]["n"] // QUERY_BYTES))
-    kind = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {kind}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
-    out, query_type = None, to_arrow_type(queries.schema["query_id"].dataType)
+class Best:
+    """The k best documents of each query among all that a task has seen: a pool of bounded size, cut when it is full.
+    Ties are cut by id, as in the final ranking; a document that comes several times keeps its best score."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.size = k, [], 0
+
+    def add(self, query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append(pd.DataFrame({"q": query, "d": doc, "s": score}))
+        self.size += len(query)
+        if self.size > POOL:
+            self.cut()
+
+    def cut(self) -> pd.DataFrame:
+        every = pd.concat(self.parts, ignore_index=True).groupby(["q", "d"], sort=False, as_index=False)["s"].max()
+        every["r"] = -every["s"].round(6)
+        every = every.sort_values(["q", "r", "d"], kind="stable")
+        every = every[every.groupby("q", sort=False).cumcount() < self.k].drop(columns="r")
+        self.parts, self.size = [every], len(every)
+        return every
+
+    def batch(self, ids: np.ndarray, query_type: pa.DataType, doc_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            got = self.cut()
+            for x in range(0, len(got), 1 << 16):
+                part = got.iloc[x : x + (1 << 16)]
+                yield pa.record_batch([pa.array(ids[part["q"].to_numpy()].tolist(), query_type), pa.array(part["d"].tolist(), doc_type), pa.array(part["s"].to_numpy(dtype=float))], ["query_id", "doc_id", "score"])
+
+
+def vectors_of(column: pa.Array) -> np.ndarray:
+    """A column of equally long arrays as one matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def query_parts(queries: DataFrame, size: int, columns: list[str]) -> Iterator[list]:
+    """The queries' rows (of `size` bytes in all) in parts that fit QUERY_BYTES, each collected for a broadcast."""
+    parts = max(1, -(-size // QUERY_BYTES))
     for part in range(parts):
         mine = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else queries
-        rows = mine.select("query_id", "emb").collect()
-        if not rows:
-            continue
+        if rows := mine.select(*columns).collect():
+            yield rows
+
+
+def block_scores(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score): dot products of every query with every vector, the best per document. `vectors` has
+    doc_id and emb, `queries` query_id and emb. Runs of vectors are multiplied with the queries in products of at most
+    SCORES entries; a task gives back its k best documents per query (none of the overall top k can be missing), so
+    nothing quadratic is ever a row. More queries than fit one broadcast are scored in passes over stored vectors."""
+    kinds = queries.schema["query_id"].dataType, vectors.schema["doc_id"].dataType
+    schema = f"query_id {kinds[0].simpleString()}, doc_id {kinds[1].simpleString()}, score double"
+    vectors = vectors.select("doc_id", "emb")
+    size = queries.agg(F.sum(F.size("emb") * 8).alias("b")).first()["b"] or 0
+    if size > QUERY_BYTES:
+        vectors = vectors.persist()
+    out, query_type = None, to_arrow_type(kinds[0])
+    for rows in query_parts(queries, size, ["query_id", "emb"]):
         ids, matrix = np.array([r[0] for r in rows], dtype=object), np.array([r[1] for r in rows], dtype=np.float64)
         sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, matrix = sent.value
+            best, kind, step = Best(k), None, max(1, SCORES // len(ids))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                docs = batch.column(0).to_pandas()
-                emb = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                codes, names = pd.factorize(docs, sort=True)
-                order = np.argsort(codes, kind="stable")
-                first = np.flatnonzero(np.diff(codes[order], prepend=-1))
-                best = np.maximum.reduceat((emb @ matrix.T)[order], first, axis=0).round(9)
-                take = min(k, len(names))
-                # Ties are cut by id, as in the final ranking: names are sorted and the sort is stable.
-                top = np.argsort(-best.round(6), axis=0, kind="stable")[:take]
-                q = np.repeat(np.arange(len(ids)), take)
-                d = top.T.ravel()
-                yield pa.record_batch([pa.array(ids[q].tolist(), query_type), pa.array(np.asarray(names)[d].tolist(), batch.column(0).type), pa.array(best[d, q])], ["query_id", "doc_id", "score"])
-
-        got = vectors.select("doc_id", "emb").mapInArrow(score, schema)
+                kind = batch.column(0).type
+                for at in range(0, batch.num_rows, step):
+                    emb = vectors_of(batch.column(1).slice(at, step))
+                    codes, names = pd.factorize(batch.column(0).slice(at, step).to_pandas(), sort=True)
+                    order = np.argsort(codes, kind="stable")
+                    first = np.flatnonzero(np.diff(codes[order], prepend=-1))
+                    top = np.maximum.reduceat((emb @ matrix.T)[order], first, axis=0).round(9)
+                    _keep(best, top, np.asarray(names), k)
+            if kind is not None:
+                yield from best.batch(ids, query_type, kind)
+
+        got = vectors.mapInArrow(score, schema)
         out = got if out is None else out.unionByName(got)
-    return max_pool(out)
+    return max_pool(out) if out is not None else vectors.sparkSession.createDataFrame([], schema)
+
+
+def _keep(best: Best, scores: np.ndarray, names: np.ndarray, k: int) -> None:
+    """Give the pool the k best of `scores` (documents x queries) for each query. Names are sorted and sorting is
+    stable, so ties go to the smaller id."""
+    take = min(k, len(names))
+    top = np.argsort(-scores.round(6), axis=0, kind="stable")[:take]
+    q = np.repeat(np.arange(scores.shape[1]), take)
+    d = top.T.ravel()
+    best.add(q, names[d], scores[d, q])
 
 
 def dense(chunked: DataFrame, queries: DataFrame, k: int = 10, encoder: Encoder = hash_encoder) -> DataFrame:

@@ -168,7 +168,7 @@ def metrics(run: str, ks: tuple[int, ...], name: str) -> str:
 
 TOKENS = """
     d as (select vec_id // 8 as doc_id, cast(vec_id % 8 as int) as tok_idx, embedding::double[] as emb from embeddings),
-    q as (select doc_id as query_id, tok_idx, emb from d where doc_id % 10 = 0 and tok_idx < 4),
+    q as (select doc_id as query_id, tok_idx, emb from d where doc_id % 50 = 0),
     c as (select cast(vec_id as int) as centroid_id, embedding::double[] as vec from embeddings where vec_id < 16)"""
 NEAR = """
     dn as (select doc_id, tok_idx, emb, centroid_id, vec, row_number() over (partition by doc_id, tok_idx order by round(list_sum(list_transform(list_zip(emb, vec), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6), centroid_id) as rn from d, c),
@@ -229,7 +229,7 @@ ORACLES: dict[str, str] = {
         wt as (select query_id, term, 1.0 as w from qt union all select query_id, term, 0.75 * w from gr where rn <= 10),
         sc as (select query_id, doc_id, chunk_idx, coalesce(sum(w * idf * {WEIGHT}), 0.0) as score from terms left join wt using (query_id, term) left join idf2 using (term), st group by all),
         ds as (select query_id, doc_id, max(score) as score from sc group by all) {top('ds', 10)}""",
-    "dense_precomputed_topk": f"with s as (select q.vec_id as query_id, d.vec_id as doc_id, list_dot_product(q.embedding::double[], d.embedding::double[]) as score from embeddings q cross join embeddings d where q.vec_id % 25 = 0) {top('s', 10, 5)}",
+    "dense_precomputed_topk": f"with s as (select q.vec_id as query_id, d.vec_id as doc_id, list_dot_product(q.embedding::double[], d.embedding::double[]) as score from embeddings q cross join embeddings d where q.vec_id % 50 = 0) {top('s', 10, 5)}",
     "l2_normalize": "select vec_id, 1.0 as norm, round(embedding[1]::double / sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as first from embeddings",
     "hash_encode": f"with v as ({places('benchmark', 'item_id', 'text')}) select item_id, b as dim, round(x / sqrt(sum(x * x) over (partition by item_id)), 6) as x from v",
     "naive_dense": f"with {chunks()}, {QUERY}, {dense(10, 'run')} select * from run",

@@ -37,10 +37,11 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents of eight vectors each, queries (every tenth of them, moved to other ids), and sixteen centroids."""
+    """Documents of eight vectors each, queries (all whose id is divisible by 50, with all their vectors), and sixteen
+    centroids."""
     v = _vectors(spark, sf)
     docs = v.select(F.floor(F.col("vec_id") / 8).alias("doc_id"), (F.col("vec_id") % 8).cast("int").alias("tok_idx"), "emb")
-    queries = docs.filter("doc_id % 10 = 0 and tok_idx < 4").select(F.col("doc_id").alias("query_id"), "tok_idx", "emb")
+    queries = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "tok_idx", "emb")
     cents = v.filter("vec_id < 16").select(F.col("vec_id").cast("int").alias("centroid_id"), F.col("emb").alias("vec"))
     return docs, queries, cents
 
@@ -184,7 +185,7 @@ def contextual_bm25(spark, sf):
 @query
 def dense_precomputed_topk(spark, sf):
     v = _vectors(spark, sf)
-    q = v.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "emb")
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "emb")
     return _run(fusion.ranked(dense.block_scores(v.select(F.col("vec_id").alias("doc_id"), "emb"), q, 10), 10, 5))
 
 
@@ -257,13 +258,13 @@ def rrf(spark, sf):
 @query
 def maxsim_topk(spark, sf):
     d, q, _ = _tokens(spark, sf)
-    return _run(fusion.ranked(late.maxsim_scores(d, q), 10, 5))
+    return _run(fusion.ranked(late.maxsim_scores(d, q, k=10), 10, 5))
 
 
 @query
 def maxsim_masked(spark, sf):
     d, q, _ = _tokens(spark, sf)
-    return _run(fusion.ranked(late.maxsim_scores(d.withColumn("mask", (F.col("tok_idx") % 2).cast("int")), q), 10, 5))
+    return _run(fusion.ranked(late.maxsim_scores(d.withColumn("mask", (F.col("tok_idx") % 2).cast("int")), q, k=10), 10, 5))
 
 
 def _pooled(how: str):
@@ -306,7 +307,7 @@ def approx_maxsim(spark, sf):
 @query
 def fidelity(spark, sf):
     d, q, c = _tokens(spark, sf)
-    exact = fusion.ranked(late.maxsim_scores(d, q), 3)
+    exact = fusion.ranked(late.maxsim_scores(d, q, k=3), 3)
     return fusion.overlap_at_k(late.approximate_maxsim(d, q, c, 3, 0.1, 2), exact, 3).select("query_id", F.round("fidelity", 6).alias("fidelity"))
 
 
