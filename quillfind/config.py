@@ -93,8 +93,10 @@ class Experiment:
 
 
 def from_dict(values: dict, cls=Experiment):
-    """Nested settings from a dict; keys that are not known are left out."""
+    """Nested settings from a dict. Names that are not known are errors, so that a mistyped one is not passed over."""
     got = {}
+    if odd := sorted(set(values) - {f.name for f in fields(cls)}):
+        raise ValueError(f"{cls.__name__} has no settings {odd}")
     for f in fields(cls):
         if f.name in values:
             default = f.default_factory() if callable(getattr(f, "default_factory", None)) else f.default
@@ -110,6 +112,8 @@ def with_overrides(config: Experiment, **dotted) -> Experiment:
         at = values
         *outer, last = name.split(".")
         for part in outer:
+            if not isinstance(at.get(part), dict):
+                raise ValueError(f"no settings {name!r}")
             at = at[part]
         at[last] = v
     return from_dict(values)

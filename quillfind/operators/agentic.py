@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .fusion import ranked, score_sum
+from .fusion import first_seen, ranked, score_sum
 
 #: A retriever takes queries (query_id, text) and gives a run (query_id, doc_id, score, rank).
 Retriever = Callable[[DataFrame], DataFrame]
@@ -31,8 +31,7 @@ def reflection(queries: DataFrame, corpus: DataFrame, retrieve: Retriever, k: in
     current, found, active = queries, None, queries
     for k_round in range(rounds):
         run = retrieve(current.join(active.select("query_id"), "query_id", "left_semi")).select("query_id", "doc_id", "score", "rank").withColumn("round", F.lit(k_round))
-        new = run if found is None else run.join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-        found = new if found is None else found.unionByName(new)
+        found = run if found is None else found.unionByName(run)
         if k_round == rounds - 1:
             break
         texts = run.join(corpus.select("doc_id", "text"), "doc_id", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("text", F.lit("")).alias("t")))).alias("t"))
@@ -41,7 +40,7 @@ def reflection(queries: DataFrame, corpus: DataFrame, retrieve: Retriever, k: in
         active = judged.filter(F.col("coverage") < enough).select("query_id", "text")
         rewrite = T.strip_question if strict_order and k_round == 0 else T.broaden
         current = active.withColumn("text", rewrite(F.col("text")))
-    return ranked(found.select("query_id", "doc_id", "score"), k)
+    return ranked(first_seen(found), k)
 
 
 def token_overlap(query: Column, text: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .fusion import ranked
 
 BLOCK = 4096
+#: Scores of community members by strategy.
+STRATEGIES = {"standard": None, "graph": 0.5, "hybrid": 0.3}
 
 
 def similarity_graph(vectors: DataFrame, threshold: float = 0.5, neighbours: int = 5, block: int = BLOCK) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,19 @@ def log_tf_encoder(df: DataFrame, keys: list[str], text: str = "text") -> DataFr
     return df.select(*keys, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.log1p(F.count("*")).alias("weight"))
 
 
+class Postings:
+    """Chunks' weighted terms. Chunks are shuffled once, whole and by document, before they become postings: grouping
+    terms and taking norms then need no shuffle of the far more numerous postings. The chunks are kept."""
+
+    def __init__(self, chunked: DataFrame, encoder: Callable = log_tf_encoder):
+        self.tokens, self.encoder = chunked.select("doc_id", "chunk_idx", "text").repartition("doc_id").persist(), encoder
+        self.rows = encoder(self.tokens, ["doc_id", "chunk_idx"])
+
+    @cached_property
+    def n(self) -> int:
+        return self.tokens.count()
+
+
 def sparse_scores(postings: DataFrame, n: int, queries: DataFrame, reweight: bool = True) -> DataFrame:
     """(query_id, doc_id, chunk_idx, score): dot product over shared terms, by both norms. With reweight, query weights
     are multiplied by ln((N + 1) / (df + 1)) + 1, and the query's norm is taken afterwards. A chunk's norm is taken where
@@ -34,12 +50,14 @@ def sparse_scores(postings: DataFrame, n: int, queries: DataFrame, reweight: boo
     return dots.join(norms, "query_id").select("query_id", *key, (F.col("d") / (F.greatest("cn", F.lit(1e-8)) * F.greatest("qn", F.lit(1e-8)))).alias("score"))
 
 
-def sparse(chunked: DataFrame, queries: DataFrame, k: int = 10, encoder=log_tf_encoder, reweight: bool = True) -> DataFrame:
-    """Top k documents per query by their best chunk. Chunks are shuffled once, whole and by document, before they
-    become postings: grouping terms and taking norms then need no shuffle of the far more numerous postings."""
-    chunked = chunked.select("doc_id", "chunk_idx", "text").repartition("doc_id").persist()
-    post = encoder(chunked, ["doc_id", "chunk_idx"])
-    return ranked(max_pool(sparse_scores(post, chunked.count(), encoder(queries, ["query_id"]), reweight)), k)
+def search(postings: Postings, queries: DataFrame, k: int = 10, reweight: bool = True) -> DataFrame:
+    """Top k documents per query by their best chunk."""
+    return ranked(max_pool(sparse_scores(postings.rows, postings.n, postings.encoder(queries, ["query_id"]), reweight)), k)
+
+
+def sparse(chunked: DataFrame, queries: DataFrame, k: int = 10, encoder: Callable = log_tf_encoder, reweight: bool = True) -> DataFrame:
+    """The same over a table of chunks."""
+    return search(Postings(chunked, encoder), queries, k, reweight)
 
 
 def expansion_terms(weights: DataFrame, keys: list[str], k: int = 10) -> DataFrame:

@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import lexical
 from .dense import Encoder, block_scores, hash_encoder
 from .fusion import max_pool, ranked
+from .late import maxsim_scores
 
 SOFT, MIN_NODES, MAX_K, MAX_LEVELS, REDUCED = 0.1, 3, 10, 6, 10
 #: Rows in a partition of what components and mixture models are fitted on (all rows).
@@ -169,3 +170,36 @@ def traversal(nodes: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 1
         frontier = best.join(edges.select(F.col("parent_id").alias("node_id"), "child_id"), "node_id").select("query_id", F.col("child_id").alias("node_id")).distinct()
     every = reduce(DataFrame.unionByName, kept).groupBy("query_id", "node_id").agg(F.max("score").alias("score"))
     return to_documents(every, nodes, edges, k, node_to_doc)
+
+
+def late_scores(node_tokens: DataFrame, query_tokens: DataFrame, k: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """(query_id, node_id, score) by MaxSim over the nodes' token vectors: of all nodes (the best k), or of pairs."""
+    pairs = None if pairs is None else pairs.select("query_id", F.col("node_id").alias("doc_id"))
+    return maxsim_scores(node_tokens.withColumnRenamed("node_id", "doc_id"), query_tokens, pairs, k).withColumnRenamed("doc_id", "node_id")
+
+
+def best_nodes(scores: DataFrame, k: int) -> DataFrame:
+    """The k best nodes of each query (ties: the smaller id)."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
+    return scores.withColumn("score", F.round("score", 6)).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
+
+
+def late_collapsed(nodes: DataFrame, edges: DataFrame, node_tokens: DataFrame, query_tokens: DataFrame, k: int = 10, node_to_doc: str = "expand") -> DataFrame:
+    """All nodes of the tree, summaries too, ranked by MaxSim; the k best become documents (a summary: those below it,
+    or with leaf_only none)."""
+    return to_documents(best_nodes(late_scores(node_tokens, query_tokens, k), k), nodes, edges, k, node_to_doc)
+
+
+def late_traversal(nodes: DataFrame, edges: DataFrame, node_tokens: DataFrame, query_tokens: DataFrame, k: int = 10, node_to_doc: str = "expand") -> DataFrame:
+    """From the top level down: the frontier's nodes are ranked by MaxSim, the k best kept, and their children searched
+    next; of all kept ones the k best become documents."""
+    top = nodes.agg(F.max("level").alias("m")).first()["m"] or 0
+    queries = query_tokens.select("query_id").distinct()
+    frontier = nodes.filter(F.col("level") == top).select("node_id").crossJoin(F.broadcast(queries))  # roots are few
+    kept = []
+    for _ in range(top + 1):
+        best = best_nodes(late_scores(node_tokens, query_tokens, k, frontier), k)
+        kept.append(best)
+        frontier = best.join(edges.select(F.col("parent_id").alias("node_id"), "child_id"), "node_id").select("query_id", F.col("child_id").alias("node_id")).distinct()
+    every = reduce(DataFrame.unionByName, kept).groupBy("query_id", "node_id").agg(F.max("score").alias("score"))
+    return to_documents(best_nodes(every, k), nodes, edges, k, node_to_doc)
