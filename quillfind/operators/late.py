@@ -225,13 +225,26 @@ def approximate_maxsim(doc_tokens: DataFrame, query_tokens: DataFrame, centroids
 
 def compress(tokens: DataFrame, centroids: DataFrame, bits: int = 2) -> tuple[DataFrame, DataFrame]:
     """(codes, bounds): each token's nearest centroid and its residual in 2**bits steps per dimension."""
-    near = nearest_centroids(tokens, centroids, ["doc_id", "tok_idx"]).select("doc_id", "tok_idx", "centroid_id", F.zip_with(F.col("emb").cast("array<double>"), "vec", lambda a, b: a - b).alias("r"))
+    near = _residuals(tokens, centroids)
     per = near.select(F.posexplode("r").alias("dim", "x")).groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     bounds = per.agg(F.array_sort(F.collect_list(F.struct("dim", "lo", "hi"))).alias("bounds"))
+    return _codes(near, bounds, bits), bounds
+
+
+def _residuals(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
+    near = nearest_centroids(tokens, centroids, ["doc_id", "tok_idx"])
+    return near.select("doc_id", "tok_idx", "centroid_id", F.zip_with(F.col("emb").cast("array<double>"), "vec", lambda a, b: a - b).alias("r"))
+
+
+def _codes(near: DataFrame, bounds: DataFrame, bits: int) -> DataFrame:
     steps = 1 << bits
     level = lambda x, b: F.least(F.greatest(F.floor(F.round((x - b["lo"]) / F.greatest(b["hi"] - b["lo"], F.lit(1e-8)) * steps, 9)), F.lit(0)), F.lit(steps - 1)).cast("smallint")
-    codes = near.crossJoin(F.broadcast(bounds)).select("doc_id", "tok_idx", "centroid_id", F.zip_with("r", "bounds", level).alias("residual"))
-    return codes, bounds
+    return near.crossJoin(F.broadcast(bounds)).select("doc_id", "tok_idx", "centroid_id", F.zip_with("r", "bounds", level).alias("residual"))
+
+
+def encode(tokens: DataFrame, centroids: DataFrame, bounds: DataFrame, bits: int = 2) -> DataFrame:
+    """Codes by centroids and bounds that are there already."""
+    return _codes(_residuals(tokens, centroids), bounds, bits)
 
 
 def decompress(codes: DataFrame, bounds: DataFrame, centroids: DataFrame, bits: int = 2) -> DataFrame:

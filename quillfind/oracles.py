@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .functions.text import COMPARISONS, CONJUNCTIONS, COVERAGE_STOP_WORDS, STOP_WORDS, SUFFIXES, TEMPLATES, W
 
 
@@ -74,6 +76,24 @@ def places(rel: str, keys: str, x: str, d: int = 64) -> str:
     return f"select {keys}, b, sum(sgn) as x from (select {keys}, ('0x' || substr(md5(term), 1, 8))::bigint % {d} as b, case when ('0x' || substr(md5(term), 9, 1))::bigint % 2 = 0 then 1 else -1 end as sgn from (select {keys}, unnest({tokens(x)}) as term from {rel})) group by all having sum(sgn) <> 0"
 
 
+def second(ctes: str) -> str:
+    """A dense retrieval's CTEs for a second set of queries: other names, without the chunks' vectors."""
+    kept = ctes[ctes.index("qv as (") :]
+    for name in ("qv", "qn", "dc", "dd"):
+        kept = re.sub(rf"\b{name}\b", f"{name}2", kept)
+    return kept
+
+
+def token_vectors(rel: str, key: str, text: str, name: str, d: int = 32) -> str:
+    """CTEs of the token encoder: {name}t (key, t), {name}w (key, i, w: the token and its neighbours as one string),
+    and for every distinct window {name}p (w, b, x): its unit vector's places that are not zero."""
+    return f"""
+        {name}t as (select {key}, {tokens(text)} as t from {rel}),
+        {name}w as (select {key}, i, list_sort(list_filter([t[i - 1], t[i], t[i + 1]], lambda x: x is not null)) as w, len(t) as n from {name}t, unnest(range(1, len(t) + 1)) as u(i)),
+        {name}r as (select w, ('0x' || substr(md5(term), 1, 8))::bigint % {d} as b, sum(case when ('0x' || substr(md5(term), 9, 1))::bigint % 2 = 0 then 1 else -1 end) as x from (select w, unnest(w) as term from (select distinct w from {name}w)) group by all having sum(case when ('0x' || substr(md5(term), 9, 1))::bigint % 2 = 0 then 1 else -1 end) <> 0),
+        {name}p as (select w, b, x / sqrt(sum(x * x) over (partition by w)) as x from {name}r)"""
+
+
 def dense(k: int, name: str, queries: str = "q") -> str:
     return f"""
         cv as ({places('chunks', 'doc_id, chunk_idx', 'text')}), cn as (select doc_id, chunk_idx, sqrt(sum(x * x)) as n from cv group by all),
@@ -270,5 +290,60 @@ ORACLES: dict[str, str] = {
     "subsample_corpus_keep_judged": f"with {QRELS}, g as (select distinct doc_id from rel) select doc_id from g union all select doc_id from (select doc_id from documents where doc_id not in (select doc_id from g) order by md5(doc_id || ':42'), doc_id limit greatest(0, 100 - (select count(*) from g)))",
     "benchmark_run": f"with {chunks()}, {QUERY}, {QRELS}, {bm25(30, 'rz', zero=True)}, rb as ({top('ds', 10)}), {dense(30, 'rd')}, f as (select query_id, doc_id, sum(1.0 / (60 + rank)) as score from (select query_id, doc_id, rank from rz union all select query_id, doc_id, rank from rd) group by all), rh as ({top('f', 10)}), rn as (select * from rd where rank <= 10), {metrics('rb', (1, 3, 5, 10, 100), 'ma')}, {metrics('rn', (1, 3, 5, 10, 100), 'mb')}, {metrics('rh', (1, 3, 5, 10, 100), 'mc')} select pipeline, metric, k, round(avg(value), 5) as value from (select 'bm25' as pipeline, * from ma union all select 'naive_dense', * from mb union all select 'hybrid_rag', * from mc) group by all",
 }
+
+_LATE = f"with {DOCS}, {QUERY}, {token_vectors('docs', 'doc_id', strip("' ' || text"), 'd')}, {token_vectors('q', 'query_id', 'text', 'q')}"
+#: Windows without a place in common have product 0; so has a window that is zero itself.
+ORACLES["late_interaction"] = f"""{_LATE},
+    dot as (select qp.w as qw, dp.w as dw, sum(qp.x * dp.x) as s from qp join dp using (b) group by all),
+    dd as (select distinct doc_id, w from dw), dn as (select doc_id, count(*) as n from dd group by all),
+    mx as (select query_id, i, doc_id, max(s) as m, count(*) as hit from qw join dot on qw.w = dot.qw join dd on dd.w = dot.dw group by all),
+    ms as (select query_id, doc_id, sum(case when hit < n then greatest(m, 0.0) else m end) as score from mx join dn using (doc_id) group by all)
+    {top('ms', 10)}"""
+ORACLES["late_chunking"] = f"""{_LATE},
+    dc as (select doc_id, (i - 2) // 128 as c, b, sum(x) as x from dw join dp using (w) where i > 1 and i < n group by all),
+    dn as (select doc_id, (i - 2) // 128 as c, count(*) as n from dw where i > 1 and i < n group by all),
+    qc as (select query_id, b, sum(x) / any_value(n) as x from qw join qp using (w) group by query_id, b),
+    sc as (select query_id, doc_id, c, sum(qc.x * dc.x / dn.n) as s from dc join dn using (doc_id, c) join qc using (b) group by all),
+    ms as (select query_id, doc_id, max(round(s, 9)) as score from sc group by all)
+    {top('ms', 10)}"""
+_CONTEXT = "(select r.query_id, string_agg(d.text, ' ' order by r.rank) as context from r0 r join docs d using (doc_id) group by r.query_id)"
+ORACLES["reflection"] = f"""with {chunks()}, {QUERY}, {dense(10, 'r0')},
+    j as (select q.query_id, q.text, {coverage('q.text', 'c.context')} as cov from q left join {_CONTEXT} c using (query_id)),
+    q2 as (select query_id, {broaden('text')} as text from j where cov < 0.5), {second(dense(10, 'r1', 'q2'))},
+    fs as (select query_id, doc_id, min_by(score, rnd) as score from (select query_id, doc_id, score, 0 as rnd from r0 union all select query_id, doc_id, score, 1 from r1) group by all)
+    {top('fs', 10)}"""
+_PICKED = "row_number() over (partition by query_id order by md5(query_id || ':' || doc_id || ':42'), doc_id) as pn"
+_TRIPLES = """pos as (select query_id, doc_id, row_number() over (partition by query_id order by doc_id) as pn from rel qualify pn <= 3),
+    neg as (select query_id, doc_id as negative_id, {picked} from cand),
+    cut as (select doc_id, substr({text}, 1, 1000) as t from docs)
+    select pos.query_id, pos.doc_id, negative_id, md5(q.text || '|' || a.t || '|' || b.t) as triple_md5 from pos join neg using (query_id, pn) join cut a on a.doc_id = pos.doc_id join cut b on b.doc_id = negative_id join q on q.query_id = pos.query_id order by 1, 2 limit 10000"""
+_TRIPLES = _TRIPLES.format(picked=_PICKED, text=strip("' ' || text"))
+ORACLES["triples_random_negative"] = f"""with {DOCS}, {QUERY}, {QRELS},
+    pool as (select doc_id from docs order by md5(doc_id || ':42'), doc_id limit (select coalesce(max(n), 0) + 3 from (select count(*) as n from rel group by query_id))),
+    cand as (select query_id, doc_id from (select distinct query_id from rel) cross join pool where (query_id, doc_id) not in (select (query_id, doc_id) from rel)), {_TRIPLES}"""
+ORACLES["triples_hard_negative"] = f"""with {DOCS}, {QUERY}, {QRELS},
+    tok as (select doc_id, {words("lower(' ' || text)")} as t from docs), st as (select count(*)::double as n, avg(len(t)) as avgdl from tok),
+    post as (select doc_id, dl, term, count(*) as tf from (select doc_id, len(t) as dl, unnest(t) as term from tok) group by all),
+    raw as (select term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) as raw from post, st group by term),
+    idf as (select term, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw),
+    qt as (select query_id, term, count(*) as qtf from (select query_id, unnest({words('lower(text)')}) as term from q) group by all),
+    sc as (select query_id, doc_id, round(sum(qtf * idf * {WEIGHT}), 6) as score from qt join post using (term) join idf using (term), st group by all),
+    cand as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rn from sc where (query_id, doc_id) not in (select (query_id, doc_id) from rel) qualify rn <= 50), {_TRIPLES}"""
+#: Suppliers below nations below regions, with two token vectors for every node.
+_TREE = """
+    nodes as (select 's' || s_suppkey as node_id, 0 as level, s_suppkey as doc_id, 2 * s_suppkey as v from supplier union all select 'n' || n_nationkey, 1, null, 300 + 2 * n_nationkey from nation union all select 'r' || r_regionkey, 2, null, 400 + 2 * r_regionkey from region),
+    tk as (select node_id, vec_id - v as tok_idx, embedding::double[] as emb from nodes join embeddings on vec_id in (v, v + 1)),
+    edges as (select 'r' || n_regionkey as parent_id, 'n' || n_nationkey as child_id from nation union all select 'n' || s_nationkey, 's' || s_suppkey from supplier),
+    below as (select 's' || s_suppkey as node_id, s_suppkey as doc_id from supplier union all select 'n' || s_nationkey, s_suppkey from supplier union all select 'r' || n_regionkey, s_suppkey from supplier join nation on s_nationkey = n_nationkey),
+    ns as (select query_id, node_id, round(sum(m), 6) as score from (select q.query_id, q.tok_idx, node_id, max(list_cosine_similarity(q.emb, tk.emb)) as m from q cross join tk group by all) group by all)"""
+_BEST = "row_number() over (partition by query_id order by score desc, node_id) as rn"
+_DOWN = "ds as (select query_id, doc_id, max(score) as score from best join below using (node_id) group by all)"
+ORACLES["tree_late_collapsed"] = f"with {TOKENS}, {_TREE}, best as (select *, {_BEST} from ns qualify rn <= 10), {_DOWN} {top('ds', 10)}"
+_LEVEL = "k{i} as (select *, {best} from ns where (query_id, node_id) in (select (k.query_id, e.child_id) from k{up} k join edges e on e.parent_id = k.node_id) qualify rn <= 10)"
+ORACLES["tree_late_traversal"] = f"""with {TOKENS}, {_TREE}, k2 as (select *, {_BEST} from ns where node_id like 'r%' qualify rn <= 10), {_LEVEL.format(i=1, up=2, best=_BEST)}, {_LEVEL.format(i=0, up=1, best=_BEST)},
+    kept as (select query_id, node_id, score from k2 union all select query_id, node_id, score from k1 union all select query_id, node_id, score from k0),
+    best as (select *, {_BEST} from kept qualify rn <= 10), {_DOWN} {top('ds', 10)}"""
+ORACLES["joined_chunks"] = f"with {chunks(100, 0)} select doc_id, md5(string_agg(text, ' ' order by chunk_idx)) as text_md5 from chunks group by doc_id"
+ORACLES["sparse_activation"] = "select vec_id, dim, round(ln(1 + greatest(x, 0)), 6) as weight from (select vec_id, unnest(embedding::double[]) as x, cast(generate_subscripts(embedding, 1) - 1 as int) as dim from embeddings) where x > 0"
 for _how, _f in _POOL.items():
     ORACLES[f"pool_{_how}"] = f"with {TOKENS}, u as (select doc_id, tok_idx, unnest(emb) as x, cast(generate_subscripts(emb, 1) - 1 as int) as dim from d) select doc_id, dim, round({_f}, 5) as x from u group by all"

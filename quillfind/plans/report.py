@@ -46,7 +46,7 @@ def timing_table(timings: list[dict]) -> str:
     if not timings:
         return "*No timings.*"
     least = min(t["total_s"] for t in timings)
-    lines = ["| Pipeline | Planning s | Query s | Total s | ms per query | Relative |", "|---|---|---|---|---|---|"]
+    lines = ["| Pipeline | Index s | Query s | Total s | ms per query | Relative |", "|---|---|---|---|---|---|"]
     for t in sorted(timings, key=lambda t: t["total_s"]):
         each = f"{t['per_query_ms']:.1f}" if t["per_query_ms"] is not None else "-"
         lines.append(f"| {t['pipeline']} | {t['index_s']:.1f} | {t['query_s']:.1f} | {t['total_s']:.1f} | {each} | {t['total_s'] / least if least > 0 else 1:.1f}x |")
@@ -88,11 +88,33 @@ def bar_chart(values: dict[str, float], label: str) -> str:
     return _svg(f'<text x="10" y="16" font-weight="bold">{html.escape(label)}</text>' + "".join(rows), 640, 40 + 24 * len(values))
 
 
+PALETTE = ("#3b6fb6", "#c8553d", "#4d8b57", "#8a5fa3", "#b8860b", "#2a8c8c")
+
+
+def grouped_bar_chart(m: Metrics, axes: list[tuple[str, int]], label: str) -> str:
+    """For every pipeline a group of upright bars, one per metric, all between 0 and 1."""
+    order = by_ndcg(m)
+    if not order or not axes:
+        return ""
+    step = 14 * len(axes) + 26
+    body = f'<text x="10" y="16" font-weight="bold">{html.escape(label)}</text><line x1="40" y1="250" x2="{50 + step * len(order)}" y2="250" stroke="#888"/>'
+    for v in (0.25, 0.5, 0.75, 1.0):
+        body += f'<text x="34" y="{254 - 200 * v:.0f}" text-anchor="end">{v:g}</text><line x1="40" y1="{250 - 200 * v:.0f}" x2="{50 + step * len(order)}" y2="{250 - 200 * v:.0f}" stroke="#eee"/>'
+    for i, p in enumerate(order):
+        x = 50 + step * i
+        for j, axis in enumerate(axes):
+            h = 200 * m[p].get(axis, 0.0)
+            body += f'<rect x="{x + 14 * j}" y="{250 - h:.1f}" width="12" height="{h:.1f}" rx="2" fill="{PALETTE[j % 6]}"><title>{html.escape(p)} {axis[0]}@{axis[1]}: {m[p].get(axis, 0.0):.4f}</title></rect>'
+        body += f'<text x="{x}" y="266" transform="rotate(30 {x} 266)">{html.escape(p)}</text>'
+    for j, (name, n) in enumerate(axes):
+        body += f'<rect x="{60 + 110 * j}" y="24" width="10" height="10" fill="{PALETTE[j % 6]}"/><text x="{74 + 110 * j}" y="33">{name}@{n}</text>'
+    return _svg(body, max(640, 90 + step * len(order) + 60), 360)
+
+
 def radar_chart(m: Metrics, axes: list[tuple[str, int]], label: str) -> str:
     """One outline per pipeline over three or more metrics; empty with fewer."""
     if len(axes) < 3 or not m:
         return ""
-    palette = ("#3b6fb6", "#c8553d", "#4d8b57", "#8a5fa3", "#b8860b", "#2a8c8c")
     at = lambda k, r: (220 + r * math.sin(2 * math.pi * k / len(axes)), 190 - r * math.cos(2 * math.pi * k / len(axes)))
     body = f'<text x="10" y="16" font-weight="bold">{html.escape(label)}</text>'
     for k, (name, n) in enumerate(axes):
@@ -100,7 +122,7 @@ def radar_chart(m: Metrics, axes: list[tuple[str, int]], label: str) -> str:
         body += f'<line x1="220" y1="190" x2="{x:.1f}" y2="{y:.1f}" stroke="#ccc"/><text x="{tx:.1f}" y="{ty:.1f}" text-anchor="middle">{name}@{n}</text>'
     for i, p in enumerate(by_ndcg(m)):
         points = " ".join("%.1f,%.1f" % at(k, 140 * m[p].get(a, 0.0)) for k, a in enumerate(axes))
-        body += f'<polygon points="{points}" fill="none" stroke="{palette[i % 6]}" stroke-width="2"/><text x="420" y="{40 + 18 * i}" fill="{palette[i % 6]}">{html.escape(p)}</text>'
+        body += f'<polygon points="{points}" fill="none" stroke="{PALETTE[i % 6]}" stroke-width="2"/><text x="420" y="{40 + 18 * i}" fill="{PALETTE[i % 6]}">{html.escape(p)}</text>'
     return _svg(body, 640, 360)
 
 
@@ -117,7 +139,8 @@ def dashboard(m: Metrics, timings: list[dict], tests: list[dict], title: str = "
     """One HTML page with charts and tables."""
     bars = bar_chart({p: m[p].get(("ndcg", 10), 0.0) for p in by_ndcg(m)}, "nDCG@10")
     radar = radar_chart(m, [("ndcg", 10), ("map", 10), ("recall", 10), ("precision", 10)], "Metrics")
+    groups = grouped_bar_chart(m, [("ndcg", 10), ("map", 10), ("recall", 10), ("precision", 10)], "Metrics by pipeline")
     spots = {t["pipeline"]: (t["total_s"], m.get(t["pipeline"], {}).get(("ndcg", 10), 0.0)) for t in timings}
     cells = lambda rows: "".join("<tr>" + "".join(f"<td>{html.escape(str(c))}</td>" for c in r) + "</tr>" for r in rows)
     table = cells([[r["pipeline_a"], r["pipeline_b"], f"{r['observed_diff']:.4f}", f"{r['p_value']:.4f}", "yes" if r["significant"] else "no"] for r in tests])
-    return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{html.escape(title)}</title><style>body{{font-family:sans-serif;margin:2em}}td{{padding:.2em .8em}}</style></head><body><h1>{html.escape(title)}</h1>{bars}{radar}{scatter_chart(spots, "Quality and time", "seconds", "nDCG@10") if spots else ""}<h2>Significance</h2><table>{table}</table></body></html>'
+    return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{html.escape(title)}</title><style>body{{font-family:sans-serif;margin:2em}}td{{padding:.2em .8em}}</style></head><body><h1>{html.escape(title)}</h1>{bars}{groups}{radar}{scatter_chart(spots, "Quality and time", "seconds", "nDCG@10") if spots else ""}<h2>Significance</h2><table>{table}</table></body></html>'

@@ -328,7 +328,7 @@ def compressed_maxsim(spark, sf):
 @query
 def kmeans_centroids(spark, sf):
     d, _, _ = _tokens(spark, sf)
-    return late.centroid_table(d.orderBy("doc_id", "tok_idx").coalesce(1), 8).select("centroid_id", F.size("vec").alias("dims"))
+    return late.centroid_table(d, 8).select("centroid_id", "vec")
 
 
 # --- graph and tree -----------------------------------------------------------------------------------------------
@@ -381,10 +381,43 @@ def tree_paths(spark, sf):
     return tree.paths_to_root(edges, nodes.filter("level = 0"), 2)
 
 
+def _late_tree(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The same tree, with suppliers as documents and two vectors for every node; and query tokens."""
+    nodes, edges = _supplier_tree(spark, sf)
+    number = F.substring("node_id", 2, 20).cast("long")
+    nodes = nodes.withColumn("doc_id", F.when(F.col("level") == 0, number))
+    first = 2 * number + F.when(F.col("level") == 0, 0).when(F.col("level") == 1, 300).otherwise(400)
+    pairs = nodes.select("node_id", F.explode(F.array(first, first + 1)).alias("vec_id"), first.alias("v"))
+    tokens = pairs.join(_vectors(spark, sf), "vec_id").select("node_id", (F.col("vec_id") - F.col("v")).cast("int").alias("tok_idx"), "emb")
+    return nodes, edges, tokens, _tokens(spark, sf)[1]
+
+
+@query
+def tree_late_collapsed(spark, sf):
+    return _run(tree.late_collapsed(*_late_tree(spark, sf)))
+
+
+@query
+def tree_late_traversal(spark, sf):
+    return _run(tree.late_traversal(*_late_tree(spark, sf)))
+
+
+@query
+def joined_chunks(spark, sf):
+    c, _, _ = _inputs(spark, sf)
+    return agentic.joined_texts(lexical.chunks(c, 100, 0)).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def sparse_activation(spark, sf):
+    v = _vectors(spark, sf).select("vec_id", F.posexplode("emb").alias("dim", "x")).filter("x > 0")
+    return v.select("vec_id", "dim", F.round(sparse.activation(F.col("x").cast("double")), 6).alias("weight"))
+
+
 @query
 def soft_membership(spark, sf):
     m = tree.soft_clusters(_vectors(spark, sf).select(F.col("vec_id").alias("node_id"), "emb"))
-    return tree.soft_rate(m).select(F.col("rate").between(0, 1).alias("in_range"))
+    return m.select("node_id", "cluster", F.round("p", 6).alias("p"))
 
 
 # --- evaluation ---------------------------------------------------------------------------------------------------
@@ -428,7 +461,7 @@ def t_stat(spark, sf):
 
 @query
 def bootstrap(spark, sf):
-    return evaluate.significance(_diffs(spark, sf), 2000).select("pipeline_a", "pipeline_b", "n", "n_resamples", "significant")
+    return evaluate.significance(_diffs(spark, sf), 2000)
 
 
 @query

@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schema
 
-#: Names under which data sets are known, and their folders.
+# Names under which data sets are known, and their folders.
 DATASET_NAMES = {"hotpotqa": "hotpotqa", "scifact": "scifact", "fiqa": "fiqa-2018"}
 _TEXT = StructType([StructField(c, StringType()) for c in ("_id", "title", "text")])
 _TRIPLE = StructType([StructField(c, StringType()) for c in ("query", "positive", "negative")])
@@ -74,14 +74,18 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def save_json(spark: SparkSession, value: object, path: str) -> None:
-    """A small driver-side value as one JSON file, in whatever store the path names."""
+def save_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small driver-side text as one file, in whatever store the path names."""
     fs, p = _fs(spark, path)
     out = fs.create(p, True)
-    out.write(bytearray(json.dumps(value, indent=2, sort_keys=True, default=str).encode()))
+    out.write(bytearray(text.encode()))
     out.close()
 
 
+def save_json(spark: SparkSession, value: object, path: str) -> None:
+    save_text(spark, json.dumps(value, indent=2, sort_keys=True, default=str), path)
+
+
 def load_run(spark: SparkSession, run_dir: str) -> dict[str, object]:
     """The tables and JSON files of a run folder that exist: metrics, per_query, significance, timings; config, errors."""
     found: dict[str, object] = {}
@@ -94,5 +98,3 @@ def load_run(spark: SparkSession, run_dir: str) -> dict[str, object]:
         if fs.exists(p):
             found[name] = json.loads("\n".join(r["value"] for r in spark.read.text(p.toString()).collect()))
     return found
-
-

@@ -11,7 +11,13 @@ def test_round_trip_and_overrides(tmp_path):
     assert c.retrieval.top_k == 5 and c.seed == 7 and c.chunking == config.Chunking()
     config.save(c, str(tmp_path / "c.json"))
     assert config.load(str(tmp_path / "c.json")) == c
-    assert config.from_dict({"unknown": 1}) == config.Experiment()
+    for odd in ({"unknown": 1}, {"retrieval": {"topk": 5}}):
+        with pytest.raises(ValueError, match="has no settings"):
+            config.from_dict(odd)
+    with pytest.raises(ValueError, match="settings"):
+        config.with_overrides(config.Experiment(), **{"retrieval.topk": 5})
+    with pytest.raises(ValueError, match="settings"):
+        config.with_overrides(config.Experiment(), **{"retriever.top_k": 5})
     assert json.loads((tmp_path / "c.json").read_text())["retrieval"]["rrf_k"] == 60
 
 
