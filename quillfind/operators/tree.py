@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import lexical
+from . import lexical, mixture
 from .dense import Encoder, block_scores, hash_encoder
 from .fusion import max_pool, ranked
 from .late import maxsim_scores
@@ -32,33 +32,19 @@ def bic(log_likelihood: float, k: int, d: int, n: int) -> float:
 def soft_clusters(vectors: DataFrame, threshold: float = SOFT, max_k: int = MAX_K, seed: int = 42, d: int = REDUCED) -> DataFrame:
     """(node_id, cluster, p) of every membership above the threshold. Vectors are reduced by principal components; the
     number of mixture components is that of the lowest BIC of all from 2 to max_k (the smaller at ties)."""
-    from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     v = vectors.select("node_id", array_to_vector(F.col("emb").cast("array<double>")).alias("full")).persist()
-    n, width = v.count(), len(v.first()["full"]) if v.count() else 0
+    first, n = v.first(), v.count()
     if n < 4:
         return v.select("node_id", F.lit(0).alias("cluster"), F.lit(1.0).alias("p"))
-    d = max(1, min(d, n - 2, width))
+    d = max(1, min(d, n - 2, len(first["full"])))
     ordered = v.repartition(-(-n // PART_ROWS), "node_id").sortWithinPartitions(F.xxhash64("node_id"), "node_id").persist()
-    reducer = PCA(k=d, inputCol="full", outputCol="v").fit(ordered)
-    rows = reducer.transform(ordered).persist()
-    best, best_bic = None, None
-    for k in range(2, min(max_k, n - 1) + 1):
-        try:
-            model = GaussianMixture(k=k, seed=seed, featuresCol="v", maxIter=20).fit(rows)
-        except Exception as e:  # a degenerate covariance: this k can't be fitted
-            if "did not converge" not in str(e) and "not positive" not in str(e) and "Lapack" not in str(e) and "singular" not in str(e).lower():
-                raise
-            continue
-        score = bic(model.summary.logLikelihood, k, d, n)
-        if best_bic is None or score < best_bic:
-            best, best_bic = model, score
-    if best is None:
-        return v.select("node_id", F.lit(0).alias("cluster"), F.lit(1.0).alias("p"))
-    p = best.transform(rows).select("node_id", F.posexplode(vector_to_array("probability")).alias("cluster", "p"))
-    return p.filter(F.col("p") > threshold)
+    rows = PCA(k=d, inputCol="full", outputCol="v").fit(ordered).transform(ordered).select("node_id", vector_to_array("v").alias("v")).persist()
+    models = mixture.fit(rows, "v", list(range(2, min(max_k, n - 1) + 1)), n, seed)
+    best = min(models, key=lambda k: (bic(models[k].log_likelihood, k, d, n), k))
+    return mixture.memberships(rows, "node_id", "v", models[best]).filter(F.col("p") > threshold)
 
 
 def global_local_clusters(vectors: DataFrame, threshold: float = SOFT, **options) -> DataFrame:

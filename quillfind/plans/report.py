@@ -38,7 +38,9 @@ def significance_table(rows: list[dict]) -> str:
     if not rows:
         return "*No significance tests.*"
     lines = ["| Pair | Difference | Bootstrap p | t-test p | Significant |", "|---|---|---|---|---|"]
-    lines += [f"| {r['pipeline_a']} / {r['pipeline_b']} | {r['observed_diff']:.4f} | {r['p_value']:.4f} | {r['t_p']:.4f} | {'yes' if r['significant'] else 'no'} |" for r in rows]
+    # Without any variance there is no t statistic.
+    number = lambda x: "-" if x is None or math.isnan(x) else f"{x:.4f}"
+    lines += [f"| {r['pipeline_a']} / {r['pipeline_b']} | {number(r['observed_diff'])} | {number(r['p_value'])} | {number(r['t_p'])} | {'yes' if r['significant'] else 'no'} |" for r in rows]
     return "\n".join(lines)
 
 
