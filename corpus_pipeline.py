@@ -52,13 +52,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if not ids.limit(1).count():
         groups = near.link_components(docs, words=SHINGLE, num=NUM, den=DEN)
         return _without(docs, groups.filter("doc_id <> component_id").select("doc_id"), "near-gone")
-    named = docs.withColumn("id", F.col("doc_id").cast("long"))
-    once = without_hot(named, ids, "id", "rows of id").withColumn("near node", F.col("id")).drop("id")
-    twice = join_hot(named, ids, "id", "rows of id").withColumn("near node", F.xxhash64("id", "text")).drop("id").dropDuplicates(["near node"])
+    named = docs.select(F.struct(*docs.columns).alias("kept row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    once = without_hot(named, ids, "id", "rows of id").select("kept row", "text", F.col("id").alias("node"))
+    twice = join_hot(named, ids, "id", "rows of id").select("kept row", "text", F.xxhash64("id", "text").alias("node")).dropDuplicates(["node"])
     nodes = stored(once.unionByName(twice), "near-nodes")
-    groups = near.link_components(nodes, id_col="near node", words=SHINGLE, num=NUM, den=DEN)
-    gone = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("near node")), "near-gone")
-    return nodes.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge"), "near node", "left_anti").select(*docs.columns)
+    groups = near.link_components(nodes, id_col="node", words=SHINGLE, num=NUM, den=DEN)
+    gone = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("node")), "near-gone")
+    return nodes.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge"), "node", "left_anti").select("kept row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

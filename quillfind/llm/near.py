@@ -42,7 +42,7 @@ WORDS, NUM, DEN = 4, 85, 100
 #: Sets in a block of step 4, and document ids that are broadcast at most (8 bytes each).
 BLOCK, BROADCAST_IDS = 8192, 1_000_000
 #: Pairs of one set that are joined with it in one group.
-GROUP = 4096
+GROUP = 1024
 LEVELS = 4
 _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 FEATURES = "doc_id long, n long, h1 long, h2 long, sketch array<long>"
