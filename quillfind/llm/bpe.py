@@ -36,7 +36,7 @@ from .shared import session
 
 SCHEMA = "doc_id long, n_tokens long, ids_text string, decoded string"
 #: Mean bytes of a chunk (a power of two), bytes that the rolling hash sees, and entries that a memo may hold.
-MEAN_CHUNK, WINDOW, MEMO = 256, 16, 600_000
+MEAN_CHUNK, WINDOW, MEMO = 256, 16, 150_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
