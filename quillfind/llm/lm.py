@@ -1,27 +1,33 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted arrays, memory-mapped by workers.
-
-Tokens are words, lower-cased in A-Z, then one end mark per text; a begin mark is the first word's context only.
-
-Build, three shuffles, none of single tokens:
- 1. Every task counts its words and sends one block of (sorted hashes, counts) per hash range. A range's merge writes
-    its sorted hash array and counts; a word's id is its rank over all ranges.
- 2. Every task maps the hash arrays, turns adjacent words into keys `id << 32 | id`, counts them, and sends one block
-    per key range. Key ranges are cut by the words' counts, so that they carry equal weight; a word too frequent for
-    one range is cut further by its followers. A range's merge writes its sorted keys and counts.
- 3. What a key range knows of its words (followers seen once, twice, oftener; distinct predecessors) is summed per
-    hash range and written beside the hash array.
-The driver holds only sizes, cuts and counts of counts: a few numbers per range. Nothing is pruned or sampled, so
-model and traffic grow with the corpus. Ids are 32 bits wide; a corpus with more distinct words raises an error.
-
-Scoring maps the arrays (from the shared folder where it is mounted, else from an unnamed scratch copy) and looks up
-the sorted distinct keys of each slice of texts. No shuffle.
+"""Interpolated modified Kneser-Ney n-gram model of order 2 or 3: counted in Spark, kept as sorted arrays, memory-mapped
+by workers.
+
+Tokens are words, lower-cased in A-Z, then one end mark per text; a begin mark is the first word's context only. A text's
+first token has that context alone, and the second token of order 3 has the begin mark and the first token.
+
+Build; no shuffle is of single tokens, and every task counts before it sends one block per range:
+ 1. Words: blocks of (sorted hashes, counts) per hash range. A range's merge writes its sorted hash array and counts; a
+    word's id is its rank over all ranges.
+ 2. Pairs: tasks look ids up and count keys `id << 32 | id`. Key ranges are cut by the words' counts, so that they carry
+    equal weight; a word too frequent for one range is cut further by its followers. A range's merge writes its sorted
+    keys and counts; a pair's rank counts over all ranges.
+ 3. Triples (order 3): the same once more with `pair's rank << 32 | id`, ranks beyond 32 bits in groups of 2**32. A merge
+    also writes how many followers its pairs have, and tells the pairs' ranges how many triples end in each pair.
+ 4. What ranges know of their contexts (followers seen once, twice, oftener; totals) is summed per hash range.
+The driver holds only sizes, cuts and counts of counts: a few numbers per range. Ranges hold RANGE_BYTES of text
+whatever the corpus, nothing is pruned or sampled, so model and traffic grow with the corpus. Word ids are 32 bits wide;
+a corpus with more distinct words raises an error.
+
+Scoring maps the arrays that its texts' words fall in (from the shared folder where it is mounted, else from an unnamed
+scratch copy) and looks up the sorted distinct keys of each slice of texts. No shuffle.
 
 Defined results: null and empty texts consist of the end mark; with nothing to learn from, every token has
-probability 1; repeated rows count as often as they stand there; other columns are not looked at.
+probability 1; repeated rows count as often as they stand there; rows with null ids are learned from and scored; an empty
+table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import math
 from collections.abc import Iterator
@@ -33,11 +39,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import U, slices, split_words
-from .shared import fresh_folder, map_file, session, stored, write_file
+from .shared import fresh_folder, map_file, session, write_file
 
 BEGIN, END = U(0x0B0E_61A1_57A1_0001), U(0x0E4D_0F7E_0712_0002)
 #: Bytes of text per range, and entries that a task counts before it sends them on.
 RANGE_BYTES, FLUSH = 24 << 20, 3_000_000
+ORDER, LOW32 = 3, U(0xFFFFFFFF)
 BLOCK = "bucket int, kind string, keys binary, counts binary"
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -118,47 +125,107 @@ class Counter:
             self.parts, self.size = [(k, c)], len(k)
 
 
-def _blocks(kind: str, keys: np.ndarray, counts: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+def _blocks(kind: str, keys: np.ndarray, counts: np.ndarray, cuts: np.ndarray, dtype=np.uint32) -> pa.RecordBatch:
     """One block per range that has keys; cuts: first keys of the ranges after the first."""
     edges = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
-    counts = counts.astype(np.uint32)
+    counts = counts.astype(dtype)
     rows = [(b, pack_keys(keys[x:y]), pack(counts[x:y])) for b, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
     return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "keys", "counts"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch], keys_of, cuts: np.ndarray, kind: str) -> Iterator[pa.RecordBatch]:
-    counter, unmerged = Counter(), 0
+def _counted(batches: Iterator[pa.RecordBatch], keys_of, cuts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """keys_of gives (kind, keys) of a slice of texts; each kind has its own ranges."""
+    counters, unmerged = {kind: Counter() for kind in cuts}, 0
     for batch in batches:
         for _, data, offsets in slices(batch.column(0)):
-            counter.add(keys_of(data, offsets))
+            for kind, keys in keys_of(data, offsets):
+                counters[kind].add(keys)
             unmerged += 1
             if unmerged >= 8:
-                counter.compact()
+                for c in counters.values():
+                    c.compact()
                 unmerged = 0
-            if counter.size > FLUSH:
-                yield _blocks(kind, *counter.take(), cuts)
-    yield _blocks(kind, *counter.take(), cuts)
+            if sum(c.size for c in counters.values()) > FLUSH:
+                for kind, c in counters.items():
+                    yield _blocks(kind, *c.take(), cuts[kind])
+    for kind, c in counters.items():
+        yield _blocks(kind, *c.take(), cuts[kind])
+
+
+def _merged_blocks(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return merged(np.concatenate([unpack_keys(x) for x in group["keys"]]), np.concatenate([unpack(x, np.uint32) for x in group["counts"]]).astype(np.int64))
+
+
+def write_counts(uri: str, counts: np.ndarray) -> None:
+    """One byte per count; those beyond it stand at the file's beginning with their places."""
+    big = np.flatnonzero(counts > 254)
+    write_file(uri, [np.array([len(big)], U).tobytes(), big.astype(U).tobytes(), counts[big].astype(U).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()])
+
+
+class Counts:
+    """A mapped array of counts."""
+
+    def __init__(self, uri: str):
+        data = map_file(uri, np.uint8)
+        n = int(data[:8].view(U)[0])
+        self.place, self.value, self.small = data[8 : 8 + 8 * n].view(U), data[8 + 8 * n : 8 + 16 * n].view(U), data[8 + 16 * n :]
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        out = self.small[at].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        if len(big):
+            out[big] = self.value[np.searchsorted(self.place, at[big].astype(U))].astype(np.int64)
+        return out
+
+    def all(self) -> np.ndarray:
+        return self.take(np.arange(len(self.small)))
 
 
-class Vocabulary:
-    """The hash arrays of all ranges, mapped; ids are ranks over all of them."""
+class Ranges:
+    """The sorted keys of one kind, cut into ranges and mapped at first use; ranks count over all of them."""
 
-    def __init__(self, uri: str, sizes: list[int]):
-        self.hashes = [map_file(f"{uri}/hash-{b}", U) if n else np.zeros(0, U) for b, n in enumerate(sizes)]
+    def __init__(self, uri: str, kind: str, cuts: np.ndarray, sizes: list[int]):
+        self.uri, self.kind, self.cuts, self.sizes = uri, kind, np.asarray(cuts, dtype=U), sizes
         self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.cuts = hash_cuts(len(sizes))
+        self.mapped: dict[tuple[str, int], object] = {}
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For sorted hashes: (ids, known)."""
-        ids, known = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        edges = [0, *np.searchsorted(hashes, self.cuts).tolist(), len(hashes)]
+    def keys(self, b: int) -> np.ndarray:
+        if ("", b) not in self.mapped:
+            self.mapped["", b] = map_file(f"{self.uri}/{self.kind}-{b}", U) if self.sizes[b] else np.zeros(0, U)
+        return self.mapped["", b]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For sorted keys: (ranks, known)."""
+        ranks, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        edges = [0, *np.searchsorted(keys, self.cuts).tolist(), len(keys)]
         for b, (x, y) in enumerate(zip(edges, edges[1:])):
-            own = self.hashes[b]
-            if y > x and len(own):
-                at = np.minimum(np.searchsorted(own, hashes[x:y]), len(own) - 1)
-                known[x:y] = own[at] == hashes[x:y]
-                ids[x:y] = at + self.base[b]
-        return ids, known
+            if y > x and self.sizes[b]:
+                own = self.keys(b)
+                at = np.minimum(np.searchsorted(own, keys[x:y]), len(own) - 1)
+                known[x:y] = own[at] == keys[x:y]
+                ranks[x:y] = at + self.base[b]
+        return ranks, known
+
+    def _by_range(self, ranks: np.ndarray, use: np.ndarray):
+        bucket = np.searchsorted(self.base, ranks, "right") - 1
+        for b in np.unique(bucket[use]).tolist():
+            mine = use & (bucket == b)
+            yield b, mine, ranks[mine] - self.base[b]
+
+    def key_of(self, ranks: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ranks), U)
+        for b, mine, at in self._by_range(ranks, np.ones(len(ranks), bool)):
+            out[mine] = self.keys(b)[at]
+        return out
+
+    def counts(self, name: str, ranks: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The named counts of the ranks (0 where not known)."""
+        out = np.zeros(len(ranks), np.float64)
+        for b, mine, at in self._by_range(ranks, known):
+            if (name, b) not in self.mapped:
+                self.mapped[name, b] = Counts(f"{self.uri}/{self.kind}-{name}-{b}")
+            out[mine] = self.mapped[name, b].take(at)
+        return out
 
 
 def hash_cuts(n: int) -> np.ndarray:
@@ -179,103 +246,211 @@ def _of_counts(c: np.ndarray) -> list[int]:
     return [int((c == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def train(docs: DataFrame, text_col: str = "text") -> dict:
+def _kinds(counts: np.ndarray) -> np.ndarray:
+    return np.stack([counts == 1, counts == 2, counts >= 3], axis=1).astype(np.int64)
+
+
+def _sums(counts: np.ndarray, size: int) -> str:
+    return json.dumps([_of_counts(counts), size])
+
+
+def _sum_row(kind: str, b: int, text: str) -> pd.DataFrame:
+    """A range's small results travel with its blocks, in a few groups of their own."""
+    return pd.DataFrame([{"bucket": -1 - b % 64, "kind": f"sums {kind} {b}", "keys": b"", "counts": text.encode()}])
+
+
+def _heads(keys: np.ndarray, counts: np.ndarray, id_cuts: np.ndarray) -> pd.DataFrame:
+    """Blocks of what pairs' keys and counts say of the first words: followers by count, and the total."""
+    heads, known = merged(keys >> U(32), np.concatenate([_kinds(counts), counts[:, None]], axis=1))
+    return _blocks("context", heads, known, id_cuts, np.int64).to_pandas()
+
+
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
     """Learn from all texts. Returns the model: sizes, cuts, discounts and the folder of its arrays."""
+    if order not in (2, 3):
+        raise ValueError("the order must be 2 or 3")
     spark = session(docs)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    ranges = int(min(4096, max(4, math.ceil(total / RANGE_BYTES))))
+    ranges = int(max(4, math.ceil(total / RANGE_BYTES)))
     uri = fresh_folder(spark, "lm")
     cuts = hash_cuts(ranges)
 
     def count_words(batches):
         def keys(data, offsets):
             h, first = sequences(data, offsets)
-            return np.concatenate([h, np.full(len(first) - 1, BEGIN, U)])
-
-        return _counted(batches, keys, cuts, "word")
+            return [("word", np.concatenate([h, np.full(len(first) - 1, BEGIN, U)]))]
 
-    share = 4 * ranges
+        return _counted(batches, keys, {"word": cuts})
 
     def merge_words(group: pd.DataFrame) -> pd.DataFrame:
         b = int(group["bucket"].iloc[0])
-        keys, counts = merged(np.concatenate([unpack_keys(x) for x in group["keys"]]), np.concatenate([unpack(x, np.uint32) for x in group["counts"]]).astype(np.int64))
-        write_file(f"{uri}/hash-{b}", [keys.tobytes()])
-        write_file(f"{uri}/count-{b}", [counts.astype(np.uint32).tobytes()])
+        keys, counts = _merged_blocks(group)
+        write_file(f"{uri}/word-{b}", [keys.tobytes()])
+        write_counts(f"{uri}/word-count-{b}", counts)
+        # What step 4 finds out replaces these; a range whose words nothing precedes or follows keeps them.
+        for name in ("before", "one", "two", "more", "total"):
+            write_counts(f"{uri}/word-{name}-{b}", np.zeros(len(keys), np.int64))
         return pd.DataFrame({"bucket": [b], "size": [len(keys)], "mass": [int(counts.sum())], "begin": [int(counts[keys == BEGIN].sum())]})
 
     found = {r["bucket"]: r for r in texts.mapInArrow(count_words, BLOCK).groupBy("bucket").applyInPandas(merge_words, "bucket int, size long, mass long, begin long").collect()}
     sizes = [found[b]["size"] if b in found else 0 for b in range(ranges)]
     begins, mass, distinct = sum(r["begin"] for r in found.values()), sum(r["mass"] for r in found.values()), sum(sizes)
-    model = {"uri": uri, "sizes": sizes, "tokens": mass - begins, "distinct": max(0, distinct - 1), "texts": begins}
+    model = {"uri": uri, "order": order, "sizes": sizes, "tokens": mass - begins, "distinct": max(0, distinct - 1), "pairs": 0}
     if not distinct:
-        return model | {"cuts": [], "pairs": 0, "d": [0.5, 1.0, 1.5], "du": [0.5, 1.0, 1.5], "gamma": 0.0, "filled": []}
+        return model
     if distinct >= 1 << 32:
         raise ValueError("more than 2**32 distinct words: split the corpus")
+    id_cuts = np.cumsum(sizes)[:-1].astype(U)
+    target = max(1, mass // (4 * ranges))
 
-    base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64).tolist()
+    def cut_points(kind: str, kind_sizes: list[int]) -> list[tuple[int, int]]:
+        """(rank, id) pairs that cut a kind's keys into runs of at most about `target` occurrences; frequent ones further,
+        by their followers."""
+        base = np.concatenate([[0], np.cumsum(kind_sizes)]).astype(np.int64).tolist()
 
-    def cut_points(part: pd.DataFrame) -> pd.DataFrame:
-        """Keys that cut one hash range's words into runs of at most `target` occurrences; frequent words further."""
-        b = int(part["bucket"].iloc[0])
-        counts = map_file(f"{uri}/count-{b}", np.uint32).astype(np.int64)
-        target, out = max(1, mass // share), []
-        run = np.cumsum(counts) // target
-        for k in np.flatnonzero(np.diff(run, prepend=0) > 0).tolist():
-            out += [((base[b] + k) << 32) + distinct * i // (1 + int(counts[k]) // target) for i in range(1 + int(counts[k]) // target)]
-        return pd.DataFrame({"cut": np.array(out, dtype=np.int64)})
+        def of_range(part: pd.DataFrame) -> pd.DataFrame:
+            b = int(part["bucket"].iloc[0])
+            counts, out = Counts(f"{uri}/{kind}-count-{b}").all(), []
+            run = np.cumsum(counts) // target
+            for k in np.flatnonzero(np.diff(run, prepend=0) > 0).tolist():
+                parts = 1 + int(counts[k]) // target
+                out += [(base[b] + k, distinct * i // parts) for i in range(parts)]
+            return pd.DataFrame(out, columns=["rank", "id"], dtype="int64")
 
-    filled = [(b,) for b in range(ranges) if sizes[b]]
-    rows = spark.createDataFrame(filled, "bucket int").groupBy("bucket").applyInPandas(cut_points, "cut long").collect()
-    key_cuts = np.unique(np.array([r["cut"] for r in rows if r["cut"] > 0], dtype=U))
-
-    def count_pairs(batches):
-        vocabulary = Vocabulary(uri, sizes)
-        begin = int(vocabulary.find(np.array([BEGIN]))[0][0])
+        filled = spark.createDataFrame([(b,) for b, n in enumerate(kind_sizes) if n], "bucket int")
+        return sorted({(r["rank"], r["id"]) for r in filled.groupBy("bucket").applyInPandas(of_range, "rank long, id long").collect()} - {(0, 0)})
 
-        def keys(data, offsets):
-            h, first = sequences(data, offsets)
-            some, back = np.unique(h, return_inverse=True)
-            ids = vocabulary.find(some)[0][back]
-            return (contexts(ids, first, begin).astype(U) << U(32)) | ids.astype(U)
+    pair_cuts = np.array([(rank << 32) + i for rank, i in cut_points("word", sizes)], dtype=U)
 
-        return _counted(batches, keys, key_cuts, "pair")
+    def count_pairs(batches):
+        words = Ranges(uri, "word", cuts, sizes)
+        return _counted(batches, lambda data, offsets: [("pair", _pair_keys(words, data, offsets)[0])], {"pair": pair_cuts})
 
     def merge_pairs(group: pd.DataFrame) -> pd.DataFrame:
         b = int(group["bucket"].iloc[0])
-        keys, counts = merged(np.concatenate([unpack_keys(x) for x in group["keys"]]), np.concatenate([unpack(x, np.uint32) for x in group["counts"]]).astype(np.int64))
+        keys, counts = _merged_blocks(group)
         write_file(f"{uri}/pair-{b}", [keys.tobytes()])
-        write_file(f"{uri}/pair-count-{b}", [counts.astype(np.uint32).tobytes()])
-        kinds = np.stack([counts == 1, counts == 2, counts >= 3], axis=1).astype(np.uint32)
-        heads, followers = merged(keys >> U(32), kinds)
-        tails, before = np.unique(keys & U(0xFFFFFFFF), return_counts=True)
-        id_cuts = np.array(base[1:-1], dtype=U)
-        out = [_blocks("context", heads, followers, id_cuts).to_pandas(), _blocks("tail", tails, before.astype(np.uint32), id_cuts).to_pandas()]
-        sums = {"bucket": -1 - b, "kind": "sums", "keys": b"", "counts": json.dumps(_of_counts(counts) + [len(keys)]).encode()}
-        return pd.concat([*out, pd.DataFrame([sums])])[["bucket", "kind", "keys", "counts"]]
-
-    parts = stored(texts.mapInArrow(count_pairs, BLOCK).groupBy("bucket").applyInPandas(merge_pairs, BLOCK), "lm-parts")
-
-    def merge_stats(group: pd.DataFrame) -> pd.DataFrame:
+        write_counts(f"{uri}/pair-count-{b}", counts)
+        tails, before = np.unique(keys & LOW32, return_counts=True)
+        out = [_blocks("before", tails, before, id_cuts).to_pandas(), _sum_row("pair", b, _sums(counts, len(keys)))]
+        if order == 2:
+            out.append(_heads(keys, counts, id_cuts))
+        return pd.concat(out)[["bucket", "kind", "keys", "counts"]]
+
+    def merge_words_again(group: pd.DataFrame) -> pd.DataFrame:
+        """Per hash range: words' distinct predecessors, and what is known of them as contexts."""
+        b = int(group["bucket"].iloc[0])
+        if b < 0:
+            return pd.DataFrame({"name": group["kind"], "text": [bytes(x).decode() for x in group["counts"]]})
+        first, out = int(id_cuts[b - 1]) if b else 0, []
+        for kind, width, dtype in (("before", 1, np.uint32), ("context", 4, np.int64)):
+            mine = group[group["kind"] == kind]
+            if len(mine):
+                sums = np.zeros((sizes[b], width), np.int64)
+                for keys, counts in zip(mine["keys"], mine["counts"]):
+                    sums[unpack_keys(keys).astype(np.int64) - first] += unpack(counts, dtype).reshape(-1, width)
+                for name, column in zip(("before",) if width == 1 else ("one", "two", "more", "total"), sums.T):
+                    write_counts(f"{uri}/word-{name}-{b}", column)
+                if kind == "before":
+                    m = _kinds(sums[:, 0]).sum(axis=0).tolist()
+                    out.append({"name": f"sums before {b}", "text": json.dumps([_of_counts(sums[:, 0]), m])})
+        return pd.DataFrame(out, columns=["name", "text"])
+
+    def collected(rows: DataFrame) -> dict[str, dict[int, list]]:
+        """kind -> range -> what the range's merge has said."""
+        got: dict[str, dict[int, list]] = {}
+        for r in rows.collect():
+            _, kind, b = r["name"].rsplit(" ", 2)
+            got.setdefault(kind, {})[int(b)] = json.loads(r["text"])
+        _free(spark)
+        return got
+
+    said = collected(texts.mapInArrow(count_pairs, BLOCK).groupBy("bucket").applyInPandas(merge_pairs, BLOCK).groupBy("bucket").applyInPandas(merge_words_again, "name string, text string"))
+    pair_sizes = [said["pair"][b][1] if b in said["pair"] else 0 for b in range(len(pair_cuts) + 1)]
+    pairs = sum(pair_sizes)
+    add = lambda rows: [sum(r[k] for r in rows) for k in range(4)]
+    du = _discounts(add([x[0] for x in said["before"].values()]))
+    gamma = sum(d * sum(x[1][k] for x in said["before"].values()) for k, d in enumerate(du)) / pairs
+    model |= {"pair_cuts": pair_cuts.tolist(), "pair_sizes": pair_sizes, "pairs": pairs, "du": du, "gamma": gamma, "d": _discounts(add([x[0] for x in said["pair"].values()]))}
+    if order == 2:
+        return model
+
+    groups = (pairs >> 32) + 1
+    points = cut_points("pair", pair_sizes)
+    triple_cuts = {f"triple{g}": np.array([((rank & 0xFFFFFFFF) << 32) + i for rank, i in points if rank >> 32 == g], dtype=U) for g in range(groups)}
+
+    def count_triples(batches):
+        words, own = Ranges(uri, "word", cuts, sizes), Ranges(uri, "pair", pair_cuts, pair_sizes)
+
+        def keys(data, offsets):
+            pair, ids, first = _pair_keys(words, data, offsets)
+            some, back = np.unique(pair, return_inverse=True)
+            ranks = own.find(some)[0][back]
+            later = np.ones(len(ids), bool)
+            later[first[:-1]] = False
+            at = np.flatnonzero(later)
+            prefix = ranks[at - 1]
+            made = ((prefix.astype(U) & LOW32) << U(32)) | ids[at].astype(U)
+            return [(f"triple{g}", made[prefix >> 32 == g] if groups > 1 else made) for g in range(groups)]
+
+        return _counted(batches, keys, triple_cuts)
+
+    def merge_triples(group: pd.DataFrame) -> pd.DataFrame:
+        kind, b = group["kind"].iloc[0], int(group["bucket"].iloc[0])
+        g, own = int(kind.removeprefix("triple")), Ranges(uri, "pair", pair_cuts, pair_sizes)
+        keys, counts = _merged_blocks(group)
+        write_file(f"{uri}/{kind}-{b}", [keys.tobytes()])
+        write_counts(f"{uri}/{kind}-count-{b}", counts)
+        heads, followers = merged(keys >> U(32), _kinds(counts))
+        ranks = heads.astype(np.int64) + (g << 32)
+        # A pair seen once has one follower seen once: only the others' are kept.
+        often = own.counts("count", ranks, np.ones(len(ranks), bool)) > 1
+        write_file(f"{uri}/{kind}-heads-{b}", [heads[often].astype(np.uint32).tobytes()])
+        write_counts(f"{uri}/{kind}-followers-{b}", followers[often].ravel())
+        middle = (own.key_of(ranks) & LOW32)[np.searchsorted(heads, keys >> U(32))]
+        ends, times = np.unique((middle << U(32)) | (keys & LOW32), return_counts=True)
+        out = [_blocks("ends", ends, times, pair_cuts).to_pandas(), _sum_row(kind, b, json.dumps([_of_counts(counts), len(keys), int(often.sum())]))]
+        return pd.concat(out)[["bucket", "kind", "keys", "counts"]]
+
+    def merge_ends(group: pd.DataFrame) -> pd.DataFrame:
+        """Per pair range: in how many triples each pair is the end; a pair that begins a text keeps its count."""
         b = int(group["bucket"].iloc[0])
-        followers, before = np.zeros((sizes[b], 3), np.int64), np.zeros(sizes[b], np.int64)
-        for kind, keys, counts in zip(group["kind"], group["keys"], group["counts"]):
-            at = unpack_keys(keys).astype(np.int64) - base[b]
-            if kind == "context":
-                followers[at] += unpack(counts, np.uint32).reshape(-1, 3)
-            else:
-                before[at] += unpack(counts, np.uint32)
-        write_file(f"{uri}/followers-{b}", [followers.astype(np.uint32).tobytes()])
-        write_file(f"{uri}/before-{b}", [before.astype(np.uint32).tobytes()])
-        m = [int((before == 1).sum()), int((before == 2).sum()), int((before >= 3).sum())]
-        return pd.DataFrame([{"sums": json.dumps([_of_counts(before), m])}])
-
-    before = [json.loads(r["sums"]) for r in parts.filter("kind <> 'sums'").groupBy("bucket").applyInPandas(merge_stats, "sums string").collect()]
-    sums = {-1 - r["bucket"]: json.loads(bytes(r["counts"])) for r in parts.filter("kind = 'sums'").collect()}
-    pairs = sum(s[4] for s in sums.values())
-    du = _discounts([sum(x[0][k] for x in before) for k in range(4)])
-    gamma = sum(d * sum(x[1][k] for x in before) for k, d in enumerate(du)) / pairs
-    return model | {"cuts": key_cuts.tolist(), "pairs": pairs, "d": _discounts([sum(s[k] for s in sums.values()) for k in range(4)]), "du": du, "gamma": gamma, "filled": sorted(sums)}
+        if b < 0:
+            return group[["bucket", "kind", "keys", "counts"]]
+        own = map_file(f"{uri}/pair-{b}", U)
+        times = np.zeros(len(own), np.int64)
+        for keys, counts in zip(group["keys"], group["counts"]):
+            times[np.searchsorted(own, unpack_keys(keys))] += unpack(counts, np.uint32)
+        words = Ranges(uri, "word", cuts, sizes)
+        starts = np.flatnonzero(own >> U(32) == U(words.find(np.array([BEGIN]))[0][0]))
+        times[starts] = Counts(f"{uri}/pair-count-{b}").take(starts)
+        write_counts(f"{uri}/pair-times-{b}", times)
+        return pd.concat([_heads(own[times > 0], times[times > 0], id_cuts), _sum_row("times", b, _sums(times, len(own)))])[["bucket", "kind", "keys", "counts"]]
+
+    # Pairs that begin a text may end no triple: every pair range takes part.
+    every = spark.createDataFrame([(b, "ends", pack_keys(np.zeros(0, U)), pack(np.zeros(0, np.uint32))) for b, n in enumerate(pair_sizes) if n], BLOCK)
+    merged_ = texts.mapInArrow(count_triples, BLOCK).groupBy("kind", "bucket").applyInPandas(merge_triples, BLOCK)
+    said = collected(merged_.unionByName(every).groupBy("bucket").applyInPandas(merge_ends, BLOCK).groupBy("bucket").applyInPandas(merge_words_again, "name string, text string"))
+    model["d"] = _discounts(add([x[0] for x in said["times"].values()]))
+    rows = {kind: said.get(kind, {}) for kind in triple_cuts}
+    model["d3"] = _discounts(add([x[0] for r in rows.values() for x in r.values()]))
+    model["triples"] = {kind: (c.tolist(), [rows[kind][b][1] if b in rows[kind] else 0 for b in range(len(c) + 1)], [rows[kind][b][2] if b in rows[kind] else 0 for b in range(len(c) + 1)]) for kind, c in triple_cuts.items()}
+    return model
+
+
+def _free(spark) -> None:
+    """Let Spark's cleaner remove the files of shuffles that nothing refers to any more: they lie beside the model."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _pair_keys(words: Ranges, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair key of every token with the one before it, ids, each text's first position)"""
+    h, first = sequences(data, offsets)
+    some, back = np.unique(np.append(h, BEGIN), return_inverse=True)
+    ids = words.find(some)[0][back]
+    return (contexts(ids[:-1], first, ids[-1]).astype(U) << U(32)) | ids[:-1].astype(U), ids[:-1], first
 
 
 class Scorer:
@@ -283,32 +458,46 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.m, uri = model, model["uri"]
-        sizes = model["sizes"]
-        self.vocabulary = Vocabulary(uri, sizes)
-        read = lambda name, b, n: map_file(f"{uri}/{name}-{b}", np.uint32) if n else np.zeros(0, np.uint32)
-        self.count, self.before = [[read(name, b, n) for b, n in enumerate(sizes)] for name in ("count", "before")]
-        self.followers = [read("followers", b, n).reshape(-1, 3) for b, n in enumerate(sizes)]
-        self.cuts = np.array(model["cuts"], dtype=U)
-        self.pairs = {b: (map_file(f"{uri}/pair-{b}", U), map_file(f"{uri}/pair-count-{b}", np.uint32)) for b in model["filled"]}
-
-    def _at(self, arrays: list[np.ndarray], ids: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """Values of sorted ids (unknown ones are anywhere: 0)."""
-        out = np.zeros((len(ids), *arrays[0].shape[1:]), np.float64)
-        bucket = np.searchsorted(self.vocabulary.base, ids, "right") - 1
-        for b in np.unique(bucket[known]).tolist():
-            mine = known & (bucket == b)
-            out[mine] = arrays[b][ids[mine] - self.vocabulary.base[b]]
+        self.words = Ranges(uri, "word", hash_cuts(len(model["sizes"])), model["sizes"])
+        if model["pairs"]:
+            self.pairs = Ranges(uri, "pair", model["pair_cuts"], model["pair_sizes"])
+        self.triples = [Ranges(uri, kind, cuts, sizes) for kind, (cuts, sizes, _) in model.get("triples", {}).items()]
+        self.heads = [n for _, _, n in model.get("triples", {}).values()]
+        self.followers: dict[tuple[int, int], tuple[np.ndarray, Counts]] = {}
+
+    def _triple_counts(self, prefix: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(prefix), np.float64)
+        for g in np.unique(prefix >> 32).tolist():
+            mine = prefix >> 32 == g
+            ranks, known = self.triples[g].find(((prefix[mine].astype(U) & LOW32) << U(32)) | ids[mine].astype(U))
+            out[mine] = self.triples[g].counts("count", ranks, known)
         return out
 
-    def _pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.float64)
-        edges = [0, *np.searchsorted(keys, self.cuts).tolist(), len(keys)]
-        for b, (x, y) in enumerate(zip(edges, edges[1:])):
-            if y > x and b in self.pairs:
-                own, counts = self.pairs[b]
-                at = np.minimum(np.searchsorted(own, keys[x:y]), len(own) - 1)
-                out[x:y] = np.where(own[at] == keys[x:y], counts[at], 0)
-        return out
+    def _kept(self, ranks: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """What the discounts leave to the lower order, of sorted known pairs with counts."""
+        d = np.array(self.m["d3"])
+        out = np.where(raw == 1, d[0], 0.0)
+        for g in np.unique(ranks >> 32).tolist():
+            often = np.flatnonzero((ranks >> 32 == g) & (raw > 1))
+            own = ranks[often].astype(U) & LOW32
+            cuts = self.triples[g].cuts
+            # A frequent pair's followers may lie in several ranges; each has its share.
+            low, high = np.searchsorted(cuts, own << U(32), "right"), np.searchsorted(cuts, (own << U(32)) | LOW32, "right")
+            for step in range(int((high - low).max(initial=-1)) + 1):
+                here = low + step
+                for b in np.unique(here[here <= high]).tolist():
+                    if not self.heads[g][b]:
+                        continue
+                    if (g, b) not in self.followers:
+                        kind = self.triples[g].kind
+                        self.followers[g, b] = map_file(f"{self.m['uri']}/{kind}-heads-{b}", np.uint32), Counts(f"{self.m['uri']}/{kind}-followers-{b}")
+                    heads, counts = self.followers[g, b]
+                    mine = np.flatnonzero((here == b) & (here <= high))
+                    at = np.minimum(np.searchsorted(heads, own[mine].astype(np.uint32)), len(heads) - 1)
+                    hit = heads[at] == own[mine]
+                    for k in range(3):
+                        out[often[mine[hit]]] += d[k] * counts.take(3 * at[hit] + k)
+        return out / np.maximum(raw, 1)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known tokens, base score, score."""
@@ -317,20 +506,37 @@ class Scorer:
         some, back = np.unique(np.append(h, BEGIN), return_inverse=True)
         begin, back = back[-1], back[:-1]
         if m["pairs"]:
-            ids, known = self.vocabulary.find(some)
-            count, before, followers = self._at(self.count, ids, known), self._at(self.before, ids, known), self._at(self.followers, ids, known)
+            ids, known = self.words.find(some)
+            count, before, total = (self.words.counts(name, ids, known) for name in ("count", "before", "total"))
             d, du = np.array([0.0, *m["d"]]), np.array([0.0, *m["du"]])
             low = np.maximum(before - du[np.minimum(before, 3).astype(int)], 0) / m["pairs"] + m["gamma"] / (m["distinct"] + 1)
-            held = np.where(count > 0, followers @ d[1:] / np.maximum(count, 1), 1.0)
+            left = sum(d[k + 1] * self.words.counts(name, ids, known) for k, name in enumerate(("one", "two", "more")))
+            held = np.where(total > 0, left / np.maximum(total, 1), 1.0)
             ctx = contexts(back, first, begin)
-            code = ctx.astype(np.int64) * len(some) + back
-            pair, pair_back = np.unique(code, return_inverse=True)
+            pair, pair_back = np.unique(ctx.astype(np.int64) * len(some) + back, return_inverse=True)
             a, b = pair // len(some), pair % len(some)
             both = known[a] & known[b]
-            c = np.zeros(len(pair))
-            c[both] = self._pair_counts((ids[a[both]].astype(U) << U(32)) | ids[b[both]].astype(U))
-            p = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / np.maximum(count[a], 1) + held[a] * low[b]
+            ranks, seen = np.zeros(len(pair), np.int64), np.zeros(len(pair), bool)
+            ranks[both], seen[both] = self.pairs.find((ids[a[both]].astype(U) << U(32)) | ids[b[both]].astype(U))
+            c = self.pairs.counts("count" if m["order"] == 2 else "times", ranks, seen)
+            p = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / np.maximum(total[a], 1) + held[a] * low[b]
             logs = np.log10(p)[pair_back]
+            later = np.ones(len(h), bool)
+            later[first[:-1]] = False
+            at = np.flatnonzero(later)
+            if m["order"] == 3 and len(at):
+                raw = self.pairs.counts("count", ranks, seen)
+                keep = np.zeros(len(pair))
+                keep[seen] = self._kept(ranks[seen], raw[seen])
+                code = pair_back[at - 1].astype(np.int64) * len(some) + back[at]
+                triple, where, triple_back = np.unique(code, return_index=True, return_inverse=True)
+                x, w = triple // len(some), triple % len(some)
+                use = seen[x] & known[w]
+                d3, c3 = np.array([0.0, *m["d3"]]), np.zeros(len(triple))
+                c3[use] = self._triple_counts(ranks[x[use]], ids[w[use]])
+                lower = p[pair_back[at[where]]]
+                p3 = np.where(raw[x] > 0, np.maximum(c3 - d3[np.minimum(c3, 3).astype(int)], 0) / np.maximum(raw[x], 1) + keep[x] * lower, lower)
+                logs[at] = np.log10(p3)[triple_back]
         else:
             count, logs = np.zeros(len(some)), np.zeros(len(h))
         base = np.log10((count + 1) / (m["tokens"] + m["distinct"] + 1))[back]
@@ -354,4 +560,4 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))

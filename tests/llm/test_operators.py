@@ -122,30 +122,59 @@ def test_bpe_is_exact(docs, texts):
     assert [(n, sha(a), sha(b)) for n, a, b in bpe.Encoder(bpe.vocabulary(), mean=16).encode(more + texts[7:20])] == bpe.brute_force(more + texts[7:20])
 
 
-def test_lm_matches_formula(docs, texts):
-    model = lm.train(docs.filter(~lm.held_out()))
+def interpolated(train, order):
+    """Token probabilities by the formulas, from plain counters over whole texts."""
+    grams = {n: collections.Counter(tuple(("<s>", *t)[k : k + n]) for t in train for k in range(len(t) + 2 - n)) for n in (2, 3)}
+    adjusted = {order: grams[order]}
+    if order == 3:
+        left = collections.Counter(g[1:] for g in grams[3])
+        adjusted[2] = {g: c if g[0] == "<s>" else left[g] for g, c in grams[2].items()}
+    before = collections.Counter(g[1] for g in grams[2])
+    vocabulary = {w for t in train for w in t}
+    of = lambda counts: lm._discounts([sum(v == k for v in counts) for k in (1, 2, 3, 4)])
+    du = of(before.values())
+    gamma = sum(du[min(v, 3) - 1] for v in before.values()) / len(grams[2])
+    context = {n: collections.defaultdict(list) for n in adjusted}
+    for n, counts in adjusted.items():
+        for g, c in counts.items():
+            if c:
+                context[n][g[:-1]].append(c)
+    d = {n: of(counts.values()) for n, counts in adjusted.items()}
+
+    def p(n, g):
+        if n == 1:
+            return max(before[g[-1]] - (0, *du)[min(before[g[-1]], 3)], 0) / len(grams[2]) + gamma / (len(vocabulary) + 1)
+        own = context[n].get(g[:-1])
+        if not own:
+            return p(n - 1, g[1:])
+        c = adjusted[n].get(g, 0)
+        return max(c - (0, *d[n])[min(c, 3)], 0) / sum(own) + sum(d[n][min(x, 3) - 1] for x in own) / sum(own) * p(n - 1, g[1:])
+
+    return lambda t, k: p(min(order, k + 2), tuple(("<s>", *t)[max(0, k + 2 - order) : k + 2]))
+
+
+@pytest.mark.parametrize("order,range_bytes", [(2, 24 << 20), (3, 24 << 20), (2, 300), (3, 300)])
+def test_lm_matches_formula(docs, texts, monkeypatch, order, range_bytes):
+    """In a few and in many ranges, some of which cut a word's or a pair's followers."""
+    monkeypatch.setattr(lm, "RANGE_BYTES", range_bytes)
+    model = lm.train(docs.filter(~lm.held_out()), order=order)
     got = {r["doc_id"]: r for r in lm.score_documents(docs, model).collect()}
     tok = {3 * i: [*words_of(t), "</s>"] for i, t in enumerate(texts)}
     train = [i for i in tok if zlib.crc32(str(i).encode()) % 7 != 2]
-    c = collections.Counter(w for i in train for w in tok[i])
-    pairs = collections.Counter((a, b) for i in train for a, b in zip(["<s>", *tok[i]], tok[i]))
-    ctx, fol, before = collections.Counter(), collections.defaultdict(collections.Counter), collections.Counter()
-    for (a, b), n in pairs.items():
-        ctx[a] += n
-        fol[a][min(n, 3)] += 1
-        before[b] += 1
-    d, du = lm._discounts([sum(v == k for v in pairs.values()) for k in (1, 2, 3, 4)]), lm._discounts([sum(v == k for v in before.values()) for k in (1, 2, 3, 4)])
-    gamma = sum(du[min(v, 3) - 1] for v in before.values()) / len(pairs)
-    low = lambda w: max(before[w] - ((0, *du)[min(before[w], 3)]), 0) / len(pairs) + gamma / (len(c) + 1)
+    c, p = collections.Counter(w for i in train for w in tok[i]), interpolated([tok[i] for i in train], order)
     for i, ws in tok.items():
-        s = 0.0
-        for a, b in zip(["<s>", *ws], ws):
-            n = pairs[a, b]
-            s += math.log10(max(n - (0, *d)[min(n, 3)], 0) / ctx[a] + sum(d[k - 1] * fol[a][k] for k in (1, 2, 3)) / ctx[a] * low(b) if ctx[a] else low(b))
-        assert got[i]["score"] == pytest.approx(s) and got[i]["n_tokens"] == len(ws) and got[i]["n_known"] == sum(c[w] > 0 for w in ws)
+        assert got[i]["score"] == pytest.approx(sum(math.log10(p(ws, k)) for k in range(len(ws)))) and got[i]["n_tokens"] == len(ws) and got[i]["n_known"] == sum(c[w] > 0 for w in ws)
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (sum(c.values()) + len(c) + 1)) for w in ws))
 
 
+def test_lm_rows_without_ids(spark):
+    df = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, "b " * 50_000)], "doc_id long, text string")
+    got = lm.score_documents(df, lm.train(df.filter(~lm.held_out()))).withColumn("held_out", lm.held_out()).collect()
+    assert len(got) == 4 and [x["held_out"] for x in got if x["doc_id"] is None] == [False] and all(x["score"] < 0 for x in got)
+    with pytest.raises(ValueError):
+        lm.train(df, order=4)
+
+
 def test_lm_without_training_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     got = lm.score_documents(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), lm.train(empty)).collect()
