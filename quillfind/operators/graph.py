@@ -8,9 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fusion import ranked
+from .fusion import l2_normalize, ranked
+from .late import centroid_table, nearest_centroids
 
 BLOCK = 4096
+#: Nodes of an index cell on average, and cells that a node is searched for in.
+CELL, PROBE = 1024, 12
 #: Scores of community members by strategy.
 STRATEGIES = {"standard": None, "graph": 0.5, "hybrid": 0.3}
 
@@ -50,6 +53,47 @@ def similarity_graph(vectors: DataFrame, threshold: float = 0.5, neighbours: int
     return kept.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").distinct()
 
 
+def indexed_graph(vectors: DataFrame, threshold: float = 0.5, neighbours: int = 5, cell: int = CELL, probe: int = PROBE, seed: int = 42, block: int = BLOCK) -> DataFrame:
+    """The similarity graph by an index, for tables whose square is too much. Every node lies in the cell of its nearest
+    centroid (about `cell` nodes each, unit vectors) and is compared with the members of its `probe` nearest cells, so a
+    pair in other cells is missed; `tests/test_models.py` measures the recall against `similarity_graph`. Centroids
+    are fitted on about late.FIT_TOKENS rows; every row is indexed and searched for. A cell's members and searchers are
+    dealt to blocks, so no task holds more than two blocks however full a cell is."""
+    kind = vectors.schema["node_id"].dataType.simpleString()
+    v = vectors.select(F.col("node_id"), l2_normalize(F.col("emb").cast("array<double>")).alias("emb")).persist()
+    n = v.count()
+    if n <= cell * probe:
+        return similarity_graph(vectors, threshold, neighbours, block)
+    centroids = centroid_table(v, -(-n // cell), seed)
+    near = nearest_centroids(v, centroids, ["node_id"], probe).select("node_id", "emb", "rank", F.col("centroid_id").alias("c"))
+    # How full cells are is known beforehand: a few numbers per cell.
+    full = near.groupBy("c").agg(F.sum((F.col("rank") == 1).cast("long")).alias("members"), F.count("*").alias("searchers"))
+    full = full.select("c", F.greatest(F.ceil(F.col("members") / block), F.lit(1)).cast("int").alias("mb"), F.ceil(F.col("searchers") / block).cast("int").alias("sb")).persist()
+    dealt = near.join(full, "c")
+    mine = lambda parts: F.pmod(F.xxhash64("node_id"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    members = dealt.filter("rank = 1").withColumn("i", mine("mb")).withColumn("j", every("sb")).select("c", "i", "j", "node_id", "emb", F.lit(0).alias("side"))
+    searchers = dealt.withColumn("j", mine("sb")).withColumn("i", every("mb")).select("c", "i", "j", "node_id", "emb", F.lit(1).alias("side"))
+
+    def nearest(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node_id")
+        a, b = (group[group["side"] == side] for side in (1, 0))
+        if not len(a) or not len(b):
+            return pd.DataFrame({"src": group["node_id"].iloc[:0], "dst": group["node_id"].iloc[:0], "w": np.zeros(0)})
+        ids, others = a["node_id"].to_numpy(), b["node_id"].to_numpy()
+        s = (np.stack(a["emb"].to_numpy()) @ np.stack(b["emb"].to_numpy()).T).round(6)
+        s[ids[:, None] == others[None]] = -np.inf
+        take = min(neighbours, len(others))
+        top = np.argsort(-s, axis=1, kind="stable")[:, :take]
+        got = pd.DataFrame({"src": np.repeat(ids, take), "dst": others[top.ravel()], "w": np.take_along_axis(s, top, axis=1).ravel()})
+        return got[got["w"] >= threshold]
+
+    found = members.unionByName(searchers).groupBy("c", "i", "j").applyInPandas(nearest, f"src {kind}, dst {kind}, w double")
+    w = Window.partitionBy("src").orderBy(F.desc("w"), "dst")
+    kept = found.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= neighbours)
+    return kept.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").distinct()
+
+
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node_id, label): every round nodes take the label of greatest edge weight among their neighbours (ties: the
     smallest label). In each round a different half of the nodes, chosen by hash, may move, so that neighbours don't

@@ -106,3 +106,14 @@ def test_best_of_many_slices(spark, monkeypatch):
     for i in range(7):
         want = sorted(((-round(s, 6), d) for (n, d), s in every.items() if n == f"q{i}"))[:3]
         assert all(got[f"q{i}", d] == pytest.approx(every[f"q{i}", d]) for _, d in want)
+
+
+def test_indexed_graph_recall(spark):
+    """At least nine in ten edges of the exact graph, and none that it does not have; cells far fuller than a block."""
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("emb"))
+    exact = {(r["src"], r["dst"]): r["w"] for r in graph.similarity_graph(v, 0.25, 5).collect()}
+    got = {(r["src"], r["dst"]): r["w"] for r in graph.indexed_graph(v, 0.25, 5, cell=25, probe=8, block=16).collect()}
+    recall = len(got.keys() & exact.keys()) / len(exact)
+    print("recall", recall, "of", len(exact))
+    assert recall >= 0.9 and all(got[e] == pytest.approx(exact[e]) for e in got.keys() & exact.keys())
+    assert {e for e in graph.indexed_graph(v, 0.25, 5).select("src", "dst").collect()} == {e for e in graph.similarity_graph(v, 0.25, 5).select("src", "dst").collect()}
