@@ -284,7 +284,7 @@ ORACLES: dict[str, str] = {
     "t_stat": f"{_DIFF} select 'bm25' as pipeline_a, 'dense' as pipeline_b, count(*) as n, round(avg(diff), 5) as mean_diff, round(avg(diff) / (stddev_samp(diff) / sqrt(count(*))), 4) as t from df",
     "bonferroni": "select n_name as pair, round(0.05 / count(*) over (), 8) as adjusted_alpha, n_nationkey / 1000.0 < 0.05 / count(*) over () as significant from nation",
     "spearman": f"{_PAIR}, b as (select ra.query_id, row_number() over (partition by ra.query_id order by ra.rank)::double as x, row_number() over (partition by ra.query_id order by rb.rank)::double as y from ra join rb using (query_id, doc_id)) select query_id, count(*) as n, round(corr(x, y), 6) as rho from b group by query_id having count(*) >= 3",
-    "em_f1": f"with b as (select item_id, lower(text) as g, lower(lag(text) over (order by item_id)) as p from benchmark), t as (select item_id, g, coalesce(p, '') as p, list_distinct({words('g')}) as gt, list_distinct({words("coalesce(p, '')")}) as pt from b) select item_id, case when len(gt) = 0 then (len(pt) = 0)::int::double else ({strip('p')} = {strip('g')})::int::double end as em, round(case when len(gt) = 0 then (len(pt) = 0)::int::double when len(gt) + len(pt) = 0 then 0 else 2.0 * len(list_intersect(gt, pt)) / (len(gt) + len(pt)) end, 6) as f1 from t",
+    "em_f1": f"with b as (select b.item_id, lower(b.text) as g, lower(a.text) as p from benchmark b left join benchmark a on a.item_id = b.item_id - 1), t as (select item_id, g, coalesce(p, '') as p, list_distinct({words('g')}) as gt, list_distinct({words("coalesce(p, '')")}) as pt from b) select item_id, case when len(gt) = 0 then (len(pt) = 0)::int::double else ({strip('p')} = {strip('g')})::int::double end as em, round(case when len(gt) = 0 then (len(pt) = 0)::int::double when len(gt) + len(pt) = 0 then 0 else 2.0 * len(list_intersect(gt, pt)) / (len(gt) + len(pt)) end, 6) as f1 from t",
     "latency_percentiles": "select event_type, round(avg(value), 4) as mean, round(quantile_cont(value, 0.5), 4) as median, round(quantile_cont(value, 0.95), 4) as p95, round(quantile_cont(value, 0.99), 4) as p99, count(*) as n from events group by event_type",
     "subsample_queries": "select item_id as query_id from benchmark order by md5(item_id || ':42'), item_id limit 10",
     "subsample_corpus_keep_judged": f"with {QRELS}, g as (select distinct doc_id from rel) select doc_id from g union all select doc_id from (select doc_id from documents where doc_id not in (select doc_id from g) order by md5(doc_id || ':42'), doc_id limit greatest(0, 100 - (select count(*) from g)))",
