@@ -294,6 +294,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
         return pd.DataFrame({"bucket": [b], "size": [len(keys)], "mass": [int(counts.sum())], "begin": [int(counts[keys == BEGIN].sum())]})
 
     found = {r["bucket"]: r for r in texts.mapInArrow(count_words, BLOCK).groupBy("bucket").applyInPandas(merge_words, "bucket int, size long, mass long, begin long").collect()}
+    _free(spark)
     sizes = [found[b]["size"] if b in found else 0 for b in range(ranges)]
     begins, mass, distinct = sum(r["begin"] for r in found.values()), sum(r["mass"] for r in found.values()), sum(sizes)
     model = {"uri": uri, "order": order, "sizes": sizes, "tokens": mass - begins, "distinct": max(0, distinct - 1), "pairs": 0}
@@ -363,10 +364,10 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
         for r in rows.collect():
             _, kind, b = r["name"].rsplit(" ", 2)
             got.setdefault(kind, {})[int(b)] = json.loads(r["text"])
-        _free(spark)
         return got
 
     said = collected(texts.mapInArrow(count_pairs, BLOCK).groupBy("bucket").applyInPandas(merge_pairs, BLOCK).groupBy("bucket").applyInPandas(merge_words_again, "name string, text string"))
+    _free(spark)
     pair_sizes = [said["pair"][b][1] if b in said["pair"] else 0 for b in range(len(pair_cuts) + 1)]
     pairs = sum(pair_sizes)
     add = lambda rows: [sum(r[k] for r in rows) for k in range(4)]
@@ -432,6 +433,8 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
     every = spark.createDataFrame([(b, "ends", pack_keys(np.zeros(0, U)), pack(np.zeros(0, np.uint32))) for b, n in enumerate(pair_sizes) if n], BLOCK)
     merged_ = texts.mapInArrow(count_triples, BLOCK).groupBy("kind", "bucket").applyInPandas(merge_triples, BLOCK)
     said = collected(merged_.unionByName(every).groupBy("bucket").applyInPandas(merge_ends, BLOCK).groupBy("bucket").applyInPandas(merge_words_again, "name string, text string"))
+    del merged_, every
+    _free(spark)
     model["d"] = _discounts(add([x[0] for x in said["times"].values()]))
     rows = {kind: said.get(kind, {}) for kind in triple_cuts}
     model["d3"] = _discounts(add([x[0] for r in rows.values() for x in r.values()]))
