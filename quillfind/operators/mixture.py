@@ -7,7 +7,8 @@ settled are left out of further passes. Starting points come from k-means on a b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,8 @@ from .dense import vectors_of
 #: Rows that starting points are chosen from; passes at most; change of the mean log-likelihood that ends the fitting;
 #: what is added to variances.
 START_ROWS, PASSES, TOLERANCE, RIDGE = 4096, 60, 1e-3, 1e-6
+#: Rows that one task fits alone.
+TASK_ROWS = 20_000
 
 
 @dataclass
@@ -73,37 +76,26 @@ def updated(n: np.ndarray, sums: np.ndarray, moments: np.ndarray, rows: int, old
     return Mixture(some / some.sum(), means, cov)
 
 
-def fit(rows: DataFrame, column: str, sizes: list[int], n: int, seed: int = 42) -> dict[int, Mixture]:
-    """A mixture of each size over all rows of an array column (`rows` should be kept, as every pass reads them)."""
-    picked = rows.select(column).orderBy(F.xxhash64(column)).limit(START_ROWS).collect()
-    x = np.array([r[0] for r in picked], dtype=float)
-    shift = x.mean(axis=0)
-    models = {k: start(x - shift, k, seed) for k in sizes}
-    moving = list(sizes)
-    for _ in range(PASSES):
-        current = {k: models[k] for k in moving}
-
-        def sums(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                if batch.num_rows:
-                    v = vectors_of(batch.column(0)) - shift
-                    parts = []
-                    for model in current.values():
-                        p, logs = model.posteriors(v)
-                        parts += [p.sum(axis=0), (p.T @ v).ravel(), np.einsum("nk,ni,nj->kij", p, v, v, optimize=True).ravel(), [logs.sum()]]
-                    flat = np.concatenate(parts)
-                    total = flat if total is None else total + flat
-            if total is not None:
-                yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
-
-        flat = np.sum([r["sums"] for r in rows.select(column).mapInArrow(sums, "sums array<double>").collect()], axis=0)
-        at, d = 0, x.shape[1]
+def sums_of(models: dict[int, Mixture], x: np.ndarray) -> np.ndarray:
+    """What the updates of all models need of some rows, end to end."""
+    parts = []
+    for model in models.values():
+        p, logs = model.posteriors(x)
+        parts += [p.sum(axis=0), (p.T @ x).ravel(), np.einsum("nk,ni,nj->kij", p, x, x, optimize=True).ravel(), [logs.sum()]]
+    return np.concatenate(parts)
+
+
+def climb(models: dict[int, Mixture], n: int, d: int, total: Callable[[dict[int, Mixture]], np.ndarray], passes: int, tolerance: float) -> dict[int, Mixture]:
+    """Update models by the sums over all n rows that `total` gives, until each has settled."""
+    models, moving = dict(models), list(models)
+    for _ in range(passes):
+        current, at = {k: models[k] for k in moving}, 0
+        flat = total(current)
         for k, old in current.items():
             size = k + k * d + k * d * d + 1
             part, at = flat[at : at + size], at + size
             likelihood = float(part[-1])
-            if abs(likelihood - old.log_likelihood) < TOLERANCE * n:
+            if abs(likelihood - old.log_likelihood) < tolerance * n:
                 old.log_likelihood = likelihood
                 moving.remove(k)
                 continue
@@ -111,6 +103,35 @@ def fit(rows: DataFrame, column: str, sizes: list[int], n: int, seed: int = 42)
             models[k].log_likelihood = likelihood
         if not moving:
             break
+    return models
+
+
+def fit(rows: DataFrame, column: str, sizes: list[int], n: int, seed: int = 42) -> dict[int, Mixture]:
+    """A mixture of each size over all n rows of an array column (`rows` should be kept, as every pass reads them). Up to
+    TASK_ROWS rows are one task's work, all passes included; more are read by all tasks in every pass."""
+    picked = rows.select(column).orderBy(F.xxhash64(column)).limit(START_ROWS).collect()
+    x = np.array([r[0] for r in picked], dtype=float)
+    shift, d = x.mean(axis=0), x.shape[1]
+    first, passes, tolerance = {k: start(x - shift, k, seed) for k in sizes}, PASSES, TOLERANCE
+    if n <= TASK_ROWS:
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            every = np.concatenate([vectors_of(b.column(0)) for b in batches if b.num_rows]) - shift
+            found = climb(first, n, d, lambda current: sums_of(current, every), passes, tolerance)
+            yield pa.record_batch([pa.array([pickle.dumps(found)], pa.binary())], ["models"])
+
+        models = pickle.loads(rows.select(column).coalesce(1).mapInArrow(whole, "models binary").first()["models"])
+    else:
+
+        def total(current: dict[int, Mixture]) -> np.ndarray:
+            def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                got = [sums_of(current, vectors_of(b.column(0)) - shift) for b in batches if b.num_rows]
+                if got:
+                    yield pa.record_batch([pa.array([np.sum(got, axis=0).tolist()], pa.list_(pa.float64()))], ["sums"])
+
+            return np.sum([r["sums"] for r in rows.select(column).mapInArrow(part, "sums array<double>").collect()], axis=0)
+
+        models = climb(first, n, d, total, passes, tolerance)
     for model in models.values():
         model.means = model.means + shift
     return models

@@ -39,8 +39,10 @@ def test_every_component_count_is_tried(spark, fits, monkeypatch):
     assert got.select("cluster").distinct().count() == 5
 
 
-def test_mixture_steps_match_plain_numpy(spark, monkeypatch):
+@pytest.mark.parametrize("task_rows", [20_000, 10])
+def test_mixture_steps_match_plain_numpy(spark, monkeypatch, task_rows):
     """All rows take part in every pass, whatever the partitions: the same as one update after the other in numpy."""
+    monkeypatch.setattr(mixture, "TASK_ROWS", task_rows)
     monkeypatch.setattr(mixture, "PASSES", 5)
     monkeypatch.setattr(mixture, "TOLERANCE", 0.0)
     r = np.random.RandomState(3)
