@@ -27,7 +27,6 @@ table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
-import gc
 import json
 import math
 from collections.abc import Iterator
@@ -39,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import U, slices, split_words
-from .shared import fresh_folder, map_file, session, write_file
+from .shared import free, fresh_folder, map_file, session, write_file
 
 BEGIN, END = U(0x0B0E_61A1_57A1_0001), U(0x0E4D_0F7E_0712_0002)
 #: Bytes of text per range, and entries that a task counts before it sends them on.
@@ -294,7 +293,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
         return pd.DataFrame({"bucket": [b], "size": [len(keys)], "mass": [int(counts.sum())], "begin": [int(counts[keys == BEGIN].sum())]})
 
     found = {r["bucket"]: r for r in texts.mapInArrow(count_words, BLOCK).groupBy("bucket").applyInPandas(merge_words, "bucket int, size long, mass long, begin long").collect()}
-    _free(spark)
+    free(spark)
     sizes = [found[b]["size"] if b in found else 0 for b in range(ranges)]
     begins, mass, distinct = sum(r["begin"] for r in found.values()), sum(r["mass"] for r in found.values()), sum(sizes)
     model = {"uri": uri, "order": order, "sizes": sizes, "tokens": mass - begins, "distinct": max(0, distinct - 1), "pairs": 0}
@@ -367,7 +366,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
         return got
 
     said = collected(texts.mapInArrow(count_pairs, BLOCK).groupBy("bucket").applyInPandas(merge_pairs, BLOCK).groupBy("bucket").applyInPandas(merge_words_again, "name string, text string"))
-    _free(spark)
+    free(spark)
     pair_sizes = [said["pair"][b][1] if b in said["pair"] else 0 for b in range(len(pair_cuts) + 1)]
     pairs = sum(pair_sizes)
     add = lambda rows: [sum(r[k] for r in rows) for k in range(4)]
@@ -434,7 +433,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
     merged_ = texts.mapInArrow(count_triples, BLOCK).groupBy("kind", "bucket").applyInPandas(merge_triples, BLOCK)
     said = collected(merged_.unionByName(every).groupBy("bucket").applyInPandas(merge_ends, BLOCK).groupBy("bucket").applyInPandas(merge_words_again, "name string, text string"))
     del merged_, every
-    _free(spark)
+    free(spark)
     model["d"] = _discounts(add([x[0] for x in said["times"].values()]))
     rows = {kind: said.get(kind, {}) for kind in triple_cuts}
     model["d3"] = _discounts(add([x[0] for r in rows.values() for x in r.values()]))
@@ -442,12 +441,6 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
     return model
 
 
-def _free(spark) -> None:
-    """Let Spark's cleaner remove the files of shuffles that nothing refers to any more: they lie beside the model."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _pair_keys(words: Ranges, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pair key of every token with the one before it, ids, each text's first position)"""
     h, first = sequences(data, offsets)

@@ -6,7 +6,8 @@ join. For the others:
     adjacent ones. In a band no linked pair differs in more than d shingles.
  2. XOR-hashing every shingle into one of d+1 segments gives a parity sketch. A shingle in which two sets differ
     changes one segment, so linked sets agree in at least one whole segment (pigeonhole). A segment's parity bits are
-    kept as one 64-bit key; a set sends its keys to its own band and, where it can link upwards, to the next.
+    kept as one 64-bit key; a set sends its keys to its own band and, where it can link upwards, to the next. All keys
+    are sent, in ROUNDS runs over the texts, so that their shuffles are on disk one after the other.
     Agreement on an empty segment tells nothing. So there are e spare segments, linked sets agree in e+1, and one of
     these is filled unless both sets have more than e empty ones. Sets that do (few) also send the keys of a second,
     third and fourth sketch with other seeds, and after the fourth the empty segments themselves. No link is lost.
@@ -36,13 +37,15 @@ from pyspark.sql import functions as F
 
 from .bytewords import U, mix, ngrams, slices, split_words
 from .components import components
-from .shared import join_hot, session, stored, without_hot
+from .shared import free, join_hot, session, stored, without_hot
 
 WORDS, NUM, DEN = 4, 85, 100
 #: Sets in a block of step 4, and document ids that are broadcast at most (8 bytes each).
 BLOCK, BROADCAST_IDS = 8192, 1_000_000
 #: Pairs of one set that are joined with it in one group.
 GROUP = 1024
+#: Runs over the texts in which keys are sent, a part of all keys in each: only one part's shuffle is on disk at a time.
+ROUNDS = 3
 LEVELS = 4
 _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 FEATURES = "doc_id long, n long, h1 long, h2 long, sketch array<long>"
@@ -174,8 +177,8 @@ def features(docs: DataFrame, n: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, FEATURES)
 
 
-def keys_of(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(key, rep): every key that a document's set sends."""
+def keys_of(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN, rounds: int = 1, part: int = 0) -> DataFrame:
+    """(key, rep): every key that a document's set sends; of several rounds' keys those of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +186,11 @@ def keys_of(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) ->
             for at, data, offsets in slices(batch.column(1)):
                 keys = sketch_keys(shingle_sets(data, offsets, n), num, den)
                 owner = np.repeat(ids[at : at + len(keys)], [len(k) for k in keys])
-                every = np.concatenate(keys).astype(np.int64)
+                every = np.concatenate(keys)
+                if rounds > 1:
+                    mine = every % U(rounds) == U(part)
+                    every, owner = every[mine], owner[mine]
+                every = every.astype(np.int64)
                 for x in range(0, len(every), 1 << 18):
                     yield pa.record_batch([pa.array(every[x : x + (1 << 18)]), pa.array(owner[x : x + (1 << 18)])], ["key", "rep"])
 
@@ -265,6 +272,22 @@ def _with_sides(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFram
     return pairs.join(tables["a"], keys["a"]).join(tables["b"], keys["b"]).drop("group a", "group b")
 
 
+def _met(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(key, rep, members, first, last) of the keys that two or more of the documents send; stored. One shuffle a round,
+    removed before the next; a key that very many sets share is buffered in a spilling array, not collected."""
+    key = Window.partitionBy("key")
+    found = None
+    for part in range(ROUNDS):
+        free(docs.sparkSession)
+        keyed = keys_of(docs, words, num, den, ROUNDS, part)
+        met = keyed.withColumns({"members": F.count("*").over(key), "first": F.min("rep").over(key), "last": F.max("rep").over(key)})
+        met = stored(met.filter("members > 1"), "near-keys")
+        found = met if found is None else found.unionByName(met)
+        del keyed
+    free(docs.sparkSession)
+    return found
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets; stored."""
     pairs = stored(pairs, "near-pairs")
@@ -317,11 +340,7 @@ def _linked_rows(docs: DataFrame, rows: DataFrame, repeated: DataFrame, words: i
     gone = join_hot(slim, copies, "set", "copies").filter("doc_id <> rep").select("doc_id").join(F.broadcast(repeated) if few(repeated) else repeated.hint("merge"), "doc_id", "left_anti")
     gone = stored(gone, "near-gone")
     own = docs.filter("doc_id is not null").join(F.broadcast(gone) if few(gone) else gone.hint("merge"), "doc_id", "left_anti")
-    # One shuffle; a key that very many sets share is buffered in a spilling array, not collected.
-    key = Window.partitionBy("key")
-    keyed = keys_of(own, words, num, den)
-    met = keyed.withColumns({"members": F.count("*").over(key), "first": F.min("rep").over(key), "last": F.max("rep").over(key)})
-    met = stored(met.filter("members > 1"), "near-keys")
+    met = _met(own, words, num, den)
 
     star = met.select("rep", F.explode(F.array_distinct(F.array("first", "last"))).alias("center")).filter("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
     # Rows that are there twice have one sketch.
@@ -335,6 +354,8 @@ def _linked_rows(docs: DataFrame, rows: DataFrame, repeated: DataFrame, words: i
     close = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
     star = star.filter(close).select("a", "b")
     links = _verified(star, docs, words, num, den)
+    del star
+    free(docs.sparkSession)
     labels = components(links)
 
     # Keys of three sets or more that are not one component yet.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -76,6 +77,12 @@ def without_hot(left: DataFrame, right: DataFrame, key: str, count: str) -> Data
     return left.join(F.broadcast(right.filter(hot).select(key)), key, "left_anti").join(right.filter(~hot).select(key).hint("merge"), key, "left_anti")
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the files of shuffles that nothing refers to any more: they lie beside what is stored."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
