@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import U, mix, ngrams, slices, split_words
 from .components import components
-from .shared import free, join_hot, session, stored, without_hot
+from .shared import HOT_KEYS, free, join_hot, session, stored, without_hot
 
 WORDS, NUM, DEN = 4, 85, 100
 #: Sets in a block of step 4, and document ids that are broadcast at most (8 bytes each).
@@ -260,15 +260,19 @@ def _with_sides(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFram
     """`pairs` (a, b) with the columns of `left` (one row per a) and of `right` (one row per b). Where an end has more
     than GROUP pairs, they are dealt to groups before anything wide moves, and its row is sent to each group."""
     keys = {"a": ["a"], "b": ["b"]}
-    tables = {"a": left, "b": right}
+    tables, dealt = {"a": left, "b": right}, {}
+    # Ends are counted on the pairs as they came and those with many, fewer than HOT_KEYS, broadcast: no join runs twice.
     for end in keys:
         counts = pairs.groupBy(end).agg(F.count("*").alias("pairs of it"))
         size = counts.agg(F.max("pairs of it").alias("most"), F.sum("pairs of it").alias("n")).first()
-        if (size["most"] or 0) > GROUP:
-            groups, group = counts.withColumn("groups", F.ceil(F.col("pairs of it") / GROUP).cast("int")), f"group {end}"
-            pairs = join_hot(pairs, groups, end, "pairs of it", size["n"]).withColumn(group, F.pmod(F.xxhash64("a", "b"), F.col("groups")).cast("int")).drop("groups")
-            tables[end] = tables[end].join(groups.drop("pairs of it"), end).withColumn(group, F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
-            keys[end] = [end, group]
+        least = max(GROUP, (size["n"] or 0) // HOT_KEYS)
+        if (size["most"] or 0) > least:
+            group = f"group {end}"
+            groups = stored(counts.filter(F.col("pairs of it") > least).select(F.col(end), F.ceil(F.col("pairs of it") / GROUP).cast("int").alias("groups")), "near-groups")
+            keys[end], dealt[end] = [end, group], groups
+            tables[end] = tables[end].join(F.broadcast(groups), end, "left").withColumn(group, F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1))).drop("groups")
+    for end, groups in dealt.items():
+        pairs = pairs.join(F.broadcast(groups), end, "left").withColumn(f"group {end}", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("groups")).cast("int"), F.lit(0))).drop("groups")
     return pairs.join(tables["a"], keys["a"]).join(tables["b"], keys["b"]).drop("group a", "group b")
 
 
