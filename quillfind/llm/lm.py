@@ -13,7 +13,9 @@ Build; no shuffle is of single tokens, and every task counts before it sends one
  3. Triples (order 3): the same once more with `pair's rank << 32 | id`, ranks beyond 32 bits in groups of 2**32. A merge
     also writes how many followers its pairs have, and tells the pairs' ranges how many triples end in each pair.
  4. What ranges know of their contexts (followers seen once, twice, oftener; totals) is summed per hash range.
-The driver holds only sizes, cuts and counts of counts: a few numbers per range. Ranges hold RANGE_BYTES of text
+Keys of pairs and triples are stored as whole numbers without gaps (word id times distinct words plus word id), the first
+of every 32 in full and the others as distances from it, of four bytes and more only where a range needs them; a lookup
+reads the first keys and at most six distances. The driver holds only sizes, cuts and counts of counts: a few numbers per range. Ranges hold RANGE_BYTES of text
 whatever the corpus, nothing is pruned or sampled, so model and traffic grow with the corpus. Word ids are 32 bits wide;
 a corpus with more distinct words raises an error.
 
@@ -44,6 +46,8 @@ BEGIN, END = U(0x0B0E_61A1_57A1_0001), U(0x0E4D_0F7E_0712_0002)
 #: Bytes of text per range, and entries that a task counts before it sends them on.
 RANGE_BYTES, FLUSH = 24 << 20, 3_000_000
 ORDER, LOW32 = 3, U(0xFFFFFFFF)
+#: Stored keys per one that is stored in full; a power of 2.
+RUN = 32
 BLOCK = "bucket int, kind string, keys binary, counts binary"
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -180,17 +184,78 @@ class Counts:
         return self.take(np.arange(len(self.small)))
 
 
+def _dense(keys: np.ndarray, span: int) -> np.ndarray:
+    """Keys `high << 32 | low` with low < span as whole numbers in the same order."""
+    return (keys >> U(32)) * U(span) + (keys & LOW32)
+
+
+def write_keys(uri: str, keys: np.ndarray, span: int) -> None:
+    """Sorted distinct keys: of each RUN the first, then all distances from it, their low four bytes and as many planes of
+    higher bytes as the largest needs. The last run is filled up with a distance that no key has."""
+    dense = _dense(keys, span)
+    first = dense[::RUN]
+    away = np.full(len(first) * RUN, ~U(0))
+    away[: len(dense)] = dense - np.repeat(first, RUN)[: len(dense)]
+    most = int(away[: len(dense)].max(initial=0))
+    planes = next(k for k in range(5) if most < (1 << 32 + 8 * k) - 1)
+    write_file(uri, [np.array([len(dense), planes], U).tobytes(), first.tobytes(), away.astype(np.uint32).tobytes(), *((away >> U(32 + 8 * k)).astype(np.uint8).tobytes() for k in range(planes))])
+
+
+class Keys:
+    """A mapped array of sorted keys."""
+
+    def __init__(self, uri: str, span: int):
+        data = np.asarray(map_file(uri, np.uint8))
+        self.n, planes = (int(x) for x in data[:16].view(U))
+        self.span, runs = span, -(-self.n // RUN)
+        self.first, rest = data[16 : 16 + 8 * runs].view(U), data[16 + 8 * runs :]
+        self.low = rest[: 4 * RUN * runs].view(np.uint32)
+        self.planes = rest[4 * RUN * runs :].reshape(planes, RUN * runs)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def _away(self, at: np.ndarray) -> np.ndarray:
+        out = self.low[at].astype(U)
+        for k, plane in enumerate(self.planes):
+            out |= plane[at].astype(U) << U(32 + 8 * k)
+        return out
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, known)"""
+        dense = _dense(keys, self.span)
+        run = np.maximum(np.searchsorted(self.first, dense, "right") - 1, 0)
+        away, at = dense - self.first[run], run * RUN
+        step = RUN // 2
+        while step:
+            at += step * (self._away(at + step) <= away)
+            step //= 2
+        known = (dense >= self.first[0]) & (at < self.n) & (self._away(at) == away)
+        return np.minimum(at, self.n - 1), known
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        dense = self.first[at // RUN] + self._away(at)
+        high = dense // U(self.span)
+        return (high << U(32)) | (dense - high * U(self.span))
+
+    def all(self) -> np.ndarray:
+        return self.take(np.arange(self.n))
+
+
 class Ranges:
-    """The sorted keys of one kind, cut into ranges and mapped at first use; ranks count over all of them."""
+    """The sorted keys of one kind, cut into ranges and mapped at first use; ranks count over all of them. With a span, the
+    number of distinct words, the keys are stored by write_keys; words' hashes are stored as they are."""
 
-    def __init__(self, uri: str, kind: str, cuts: np.ndarray, sizes: list[int]):
-        self.uri, self.kind, self.cuts, self.sizes = uri, kind, np.asarray(cuts, dtype=U), sizes
+    def __init__(self, uri: str, kind: str, cuts: np.ndarray, sizes: list[int], span: int = 0):
+        self.uri, self.kind, self.cuts, self.sizes, self.span = uri, kind, np.asarray(cuts, dtype=U), sizes, span
         self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.mapped: dict[tuple[str, int], object] = {}
 
-    def keys(self, b: int) -> np.ndarray:
+    def keys(self, b: int) -> np.ndarray | Keys:
+        """Of a range that is not empty."""
         if ("", b) not in self.mapped:
-            self.mapped["", b] = map_file(f"{self.uri}/{self.kind}-{b}", U) if self.sizes[b] else np.zeros(0, U)
+            uri = f"{self.uri}/{self.kind}-{b}"
+            self.mapped["", b] = Keys(uri, self.span) if self.span else map_file(uri, U)
         return self.mapped["", b]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,8 +265,11 @@ class Ranges:
         for b, (x, y) in enumerate(zip(edges, edges[1:])):
             if y > x and self.sizes[b]:
                 own = self.keys(b)
-                at = np.minimum(np.searchsorted(own, keys[x:y]), len(own) - 1)
-                known[x:y] = own[at] == keys[x:y]
+                if self.span:
+                    at, known[x:y] = own.find(keys[x:y])
+                else:
+                    at = np.minimum(np.searchsorted(own, keys[x:y]), len(own) - 1)
+                    known[x:y] = own[at] == keys[x:y]
                 ranks[x:y] = at + self.base[b]
         return ranks, known
 
@@ -214,7 +282,7 @@ class Ranges:
     def key_of(self, ranks: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ranks), U)
         for b, mine, at in self._by_range(ranks, np.ones(len(ranks), bool)):
-            out[mine] = self.keys(b)[at]
+            out[mine] = self.keys(b).take(at)
         return out
 
     def counts(self, name: str, ranks: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -330,7 +398,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
     def merge_pairs(group: pd.DataFrame) -> pd.DataFrame:
         b = int(group["bucket"].iloc[0])
         keys, counts = _merged_blocks(group)
-        write_file(f"{uri}/pair-{b}", [keys.tobytes()])
+        write_keys(f"{uri}/pair-{b}", keys, distinct)
         write_counts(f"{uri}/pair-count-{b}", counts)
         tails, before = np.unique(keys & LOW32, return_counts=True)
         out = [_blocks("before", tails, before, id_cuts).to_pandas(), _sum_row("pair", b, _sums(counts, len(keys)))]
@@ -381,7 +449,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
     triple_cuts = {f"triple{g}": np.array([((rank & 0xFFFFFFFF) << 32) + i for rank, i in points if rank >> 32 == g], dtype=U) for g in range(groups)}
 
     def count_triples(batches):
-        words, own = Ranges(uri, "word", cuts, sizes), Ranges(uri, "pair", pair_cuts, pair_sizes)
+        words, own = Ranges(uri, "word", cuts, sizes), Ranges(uri, "pair", pair_cuts, pair_sizes, distinct)
 
         def keys(data, offsets):
             pair, ids, first = _pair_keys(words, data, offsets)
@@ -398,9 +466,9 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
 
     def merge_triples(group: pd.DataFrame) -> pd.DataFrame:
         kind, b = group["kind"].iloc[0], int(group["bucket"].iloc[0])
-        g, own = int(kind.removeprefix("triple")), Ranges(uri, "pair", pair_cuts, pair_sizes)
+        g, own = int(kind.removeprefix("triple")), Ranges(uri, "pair", pair_cuts, pair_sizes, distinct)
         keys, counts = _merged_blocks(group)
-        write_file(f"{uri}/{kind}-{b}", [keys.tobytes()])
+        write_keys(f"{uri}/{kind}-{b}", keys, distinct)
         write_counts(f"{uri}/{kind}-count-{b}", counts)
         heads, followers = merged(keys >> U(32), _kinds(counts))
         ranks = heads.astype(np.int64) + (g << 32)
@@ -418,7 +486,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
         b = int(group["bucket"].iloc[0])
         if b < 0:
             return group[["bucket", "kind", "keys", "counts"]]
-        own = map_file(f"{uri}/pair-{b}", U)
+        own = Keys(f"{uri}/pair-{b}", distinct).all()
         times = np.zeros(len(own), np.int64)
         for keys, counts in zip(group["keys"], group["counts"]):
             times[np.searchsorted(own, unpack_keys(keys))] += unpack(counts, np.uint32)
@@ -453,11 +521,11 @@ class Scorer:
     """Looks texts up in a trained model's mapped arrays."""
 
     def __init__(self, model: dict):
-        self.m, uri = model, model["uri"]
+        self.m, uri, span = model, model["uri"], sum(model["sizes"])
         self.words = Ranges(uri, "word", hash_cuts(len(model["sizes"])), model["sizes"])
         if model["pairs"]:
-            self.pairs = Ranges(uri, "pair", model["pair_cuts"], model["pair_sizes"])
-        self.triples = [Ranges(uri, kind, cuts, sizes) for kind, (cuts, sizes, _) in model.get("triples", {}).items()]
+            self.pairs = Ranges(uri, "pair", model["pair_cuts"], model["pair_sizes"], span)
+        self.triples = [Ranges(uri, kind, cuts, sizes, span) for kind, (cuts, sizes, _) in model.get("triples", {}).items()]
         self.heads = [n for _, _, n in model.get("triples", {}).values()]
         self.followers: dict[tuple[int, int], tuple[np.ndarray, Counts]] = {}
 
