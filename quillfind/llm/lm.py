@@ -105,6 +105,15 @@ def contexts(ids: np.ndarray, first: np.ndarray, begin) -> np.ndarray:
     return before
 
 
+def grouped(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, its places) of each distinct value, in time that does not grow with how many are distinct."""
+    order = np.argsort(values, kind="stable")
+    own = values[order]
+    for places in np.split(order, np.flatnonzero(own[1:] != own[:-1]) + 1):
+        if len(places):
+            yield int(values[places[0]]), places
+
+
 class Counter:
     """Counts keys of several arrays with bounded memory."""
 
@@ -274,9 +283,9 @@ class Ranges:
         return ranks, known
 
     def _by_range(self, ranks: np.ndarray, use: np.ndarray):
-        bucket = np.searchsorted(self.base, ranks, "right") - 1
-        for b in np.unique(bucket[use]).tolist():
-            mine = use & (bucket == b)
+        used = np.flatnonzero(use)
+        for b, places in grouped(np.searchsorted(self.base, ranks[used], "right") - 1):
+            mine = used[places]
             yield b, mine, ranks[mine] - self.base[b]
 
     def key_of(self, ranks: np.ndarray) -> np.ndarray:
@@ -549,14 +558,15 @@ class Scorer:
             low, high = np.searchsorted(cuts, own << U(32), "right"), np.searchsorted(cuts, (own << U(32)) | LOW32, "right")
             for step in range(int((high - low).max(initial=-1)) + 1):
                 here = low + step
-                for b in np.unique(here[here <= high]).tolist():
+                there = np.flatnonzero(here <= high)
+                for b, places in grouped(here[there]):
                     if not self.heads[g][b]:
                         continue
                     if (g, b) not in self.followers:
                         kind = self.triples[g].kind
                         self.followers[g, b] = map_file(f"{self.m['uri']}/{kind}-heads-{b}", np.uint32), Counts(f"{self.m['uri']}/{kind}-followers-{b}")
                     heads, counts = self.followers[g, b]
-                    mine = np.flatnonzero((here == b) & (here <= high))
+                    mine = there[places]
                     at = np.minimum(np.searchsorted(heads, own[mine].astype(np.uint32)), len(heads) - 1)
                     hit = heads[at] == own[mine]
                     for k in range(3):

@@ -32,3 +32,11 @@ def test_pairs_and_triples_take_less_than_six_bytes_a_key(spark):
     assert model["pairs"] > 20_000 and sum(sizes) > 50_000
     assert stored("pair", model["pair_sizes"]) < 6 * model["pairs"]
     assert stored(kind, sizes) < 6 * sum(sizes)
+
+
+def test_counts_of_many_ranges_look_at_each_rank_once():
+    ranges = lm.Ranges("file:///none", "pair", np.zeros(0, lm.U), [3, 0, 5, 1, 40], 10)
+    ranks, use = np.array([48, 2, 3, 8, 7, 0, 20, 2]), np.array([True] * 7 + [False])
+    got = [(b, mine.tolist(), at.tolist()) for b, mine, at in ranges._by_range(ranks, use)]
+    assert got == [(0, [1, 5], [2, 0]), (2, [2, 4], [0, 4]), (3, [3], [0]), (4, [0, 6], [39, 11])]
+    assert not list(ranges._by_range(ranks, np.zeros(8, bool))) and not list(lm.grouped(np.zeros(0, int)))
